@@ -213,12 +213,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def distinct_per_text(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
+    v = values.copy()
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+        v[a:z].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-    return v[keep], np.concatenate([[0], np.cumsum(np.bincount(o[keep], minlength=len(at) - 1))])
+    keep[1:] = v[1:] != v[:-1]
+    keep[at[:-1][at[:-1] < len(v)]] = True
+    return v[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 # ---------------------------------------------------------------- chunks and packed exchanges
