@@ -7,7 +7,8 @@ sets link, then under every global order of the shingles the first n - ceil(t*n)
 2. Texts are dealt by their least shingle under a random order, so most near copies meet; frequent least shingles are salted.
    Each task verifies star pairs there and joins them to clusters.  This only finds true links early.
 3. Clusters send the prefixes of their members under ORDERS orders.  Clusters that share a prefix shingle under every order are
-   candidates: the filters of the orders are intersected.
+   candidates: the filters of the orders are intersected.  A shared shingle counts if what is left of both sets from its place in
+   their prefixes on could still reach the similarity.
 4. Candidates are verified, first leader against leader, then, where that leaves two clusters apart, all members against all.
 5. Components of the verified links.
 
@@ -152,28 +153,31 @@ def frequency(v: np.ndarray, n: int, codes: np.ndarray, counts: np.ndarray) -> n
 
 
 def prefixes(v: np.ndarray, at: np.ndarray, freq: np.ndarray, seed: np.uint64, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the prefix shingles of each set under one order (rare first, then random), and their offsets."""
+    """Positions of the prefix shingles of each set under one order (rare first, then random), in order, and their offsets."""
     rank = (np.minimum(freq, (1 << 20) - 1).astype(U64) << U64(44)) | (C.mix(v ^ seed) >> U64(20))
     size = np.diff(at)
     take = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-    out = [np.argpartition(rank[a:z], k - 1)[:k] + a if k < z - a else np.arange(a, z) for a, z, k in zip(at[:-1].tolist(), at[1:].tolist(), take.tolist())]
+    out = []
+    for a, z, k in zip(at[:-1].tolist(), at[1:].tolist(), take.tolist()):
+        own = rank[a:z]
+        pick = np.argpartition(own, k - 1)[:k] if k < z - a else np.arange(z - a)
+        out.append(pick[np.argsort(own[pick])] + a)
     return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(take)])
 
 
-def _pairs(labels: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different labels of each list, a bounded number at a time."""
+def _pairs(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of each list, a bounded number at a time."""
     for m in np.unique(size):
         at = first[size == m]
         if m <= 64:
             i, j = np.triu_indices(int(m), 1)
             for x in range(0, len(at), max(1, 1_000_000 // len(i))):
                 p = at[x : x + max(1, 1_000_000 // len(i))]
-                yield labels[(p[:, None] + i).ravel()], labels[(p[:, None] + j).ravel()]
+                yield (p[:, None] + i).ravel(), (p[:, None] + j).ravel()
         else:
             for a in at:
-                own = labels[a : a + m]
                 for i in range(int(m) - 1):
-                    yield np.full(m - 1 - i, own[i]), own[i + 1 :]
+                    yield np.full(m - 1 - i, a + i), np.arange(a + i + 1, a + m)
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +231,9 @@ def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[Da
             sets = [v[a:z] for a, z in zip(new_at[:-1].tolist(), new_at[1:].tolist())]
             union = Union(len(rep))
             full = np.flatnonzero(k > 0)
+            freq = frequency(v, n, codes, counts)
+            rare = np.bincount(np.repeat(np.arange(len(rep)), k), weights=freq == 0, minlength=len(rep))
+            full = full[np.argsort(rare[full], kind="stable")]  # centres of stars: those with the fewest shingles of their own
             for j in range(STARS):
                 low = least(v, new_at, _SEEDS[j])[full]
                 by = np.argsort(low, kind="stable")
@@ -238,13 +245,16 @@ def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[Da
                             union.join(x, star[0])
             lead = own[np.array([union.find(i) for i in range(len(rep))], np.int64)]
             rows = [(-1 - int(t["place"][0].as_py() % n), C.pack_arrays(t["doc_id"].is_null().to_numpy(), t["doc_id"].fill_null(0).to_numpy().astype(np.int64), size.astype(np.int64), node, lead[back]))]
-            freq = frequency(v, n, codes, counts)
             for order in range(ORDERS):
                 pos, pre_at = prefixes(v, new_at, freq, _SEEDS[4 + order % 3] + U64(order // 3), percent)
-                token, label = v[pos], np.repeat(lead & _LOW48, np.diff(pre_at))
+                per = np.diff(pre_at)
+                token, label, n_own = v[pos], np.repeat(lead & _LOW48, per), np.repeat(k, per)
+                left = n_own - (np.arange(len(pos)) - np.repeat(pre_at[:-1], per))  # shingles from here on
                 by, bounds = C.split_by(C.bucket_of(token, n), n)
                 token, label = token[by].astype(np.uint32), label[by]
-                rows += [(order * n + b, C.pack_arrays(token[x:y], (label[x:y] & U64(0xFFFFFFFF)).astype(np.uint32), (label[x:y] >> U64(32)).astype(np.uint16))) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if x < y]
+                small = np.uint16 if k.max(initial=0) < 1 << 16 else np.uint32
+                left, n_own = left[by].astype(small), n_own[by].astype(small)
+                rows += [(order * n + b, C.pack_arrays(token[x:y], (label[x:y] & U64(0xFFFFFFFF)).astype(np.uint32), (label[x:y] >> U64(32)).astype(np.uint16), left[x:y], n_own[x:y])) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if x < y]
             yield _batch(rows, _SENT)
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,24 +265,30 @@ def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[Da
             got = [x for b in held for x in C.blobs(b.column("data"))]
             token = np.concatenate([x[0] for x in got])
             label = np.concatenate([x[1].astype(U64) | (x[2].astype(U64) << U64(32)) for x in got])
+            left, n_own = (np.concatenate([x[i].astype(np.int64) for x in got]) for i in (3, 4))
             by = np.argsort(token)
-            token, label = token[by], label[by]
             near = np.zeros(len(token), bool)
-            near[1:] = token[1:] == token[:-1]
+            near[1:] = token[by[1:]] == token[by[:-1]]
             near[:-1] |= near[1:]
-            token, label = token[near], label[near]
-            by = np.lexsort((label, token))
-            token, label = token[by], label[by]
+            by = by[near]
+            by = by[np.lexsort((label[by], token[by]))]
+            token, label, left, n_own = token[by], label[by], left[by], n_own[by]
+            if not len(token):
+                continue
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (label[1:] != label[:-1])
-            token, label = token[new], label[new]
+            at = np.flatnonzero(new)
+            # Sets that share this shingle first share at most what is left of either: (100 + t) * left >= t * (n + other n).
+            token, label, least_n = token[at], label[at], np.minimum.reduceat(n_own, at)
+            most_n = np.maximum.reduceat(left, at) * (100 + percent) // percent - least_n
             first, size = C.runs_of(token)
             first, size = first[size > 1], size[size > 1]
             bit, held_a, held_b, total = 1 << (bucket // n), [], [], 0
-            for a, b in _pairs(label, first, size):
-                held_a.append(a)
-                held_b.append(b)
-                total += len(a)
+            for i, j in _pairs(first, size):
+                ok = (least_n[i] <= most_n[j]) & (least_n[j] <= most_n[i])
+                held_a.append(label[i[ok]])
+                held_b.append(label[j[ok]])
+                total += int(ok.sum())
                 if total > 2_000_000:
                     a, b = _distinct_pairs(np.concatenate(held_a), np.concatenate(held_b))
                     yield from _pair_rows(a, b, bit, n)
@@ -361,6 +377,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
         links = links.unionAll(first)
         comp = components(links, "ngram-components")
         label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        # Where both clusters are their leaders alone, all has been said.
+        size = members.groupBy("cluster").agg((F.count("*") > 1).alias("many"))
+        pairs = pairs.join(size.toDF("a", "many_a"), "a").join(size.toDF("b", "many_b"), "b").where("many_a or many_b")
         rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
         rest = C.materialise(rest, "ngram-rest")
         if not rest.isEmpty():
