@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from quadrille.llm.bytebpe import op4_byte_bpe
 from quadrille.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from quadrille.llm.langid import op7_langid
 from quadrille.llm.ngram_join import op9_ngram_join
 from quadrille.llm.packing import op10_packing
+from quadrille.llm.quality import op3_quality
 from quadrille.llm.substring_dedup import op5_substring_dedup
 from quadrille.llm.wavelet import op1_wavelet
 
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_langid": op7_langid,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
