@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 4096, with_i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(done, fields)], schema=schema)
 
         for b in batches:
-            ids, at = enc.encode([None if t is None else t.encode() for t in b.column("text").to_pylist()], end)
+            ids, at = enc.encode(b.column("text"), end)
             for doc, a, z in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 n, own, start = z - a, ids[a:z], 0
                 while n - start >= capacity:

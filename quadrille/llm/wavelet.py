@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int, name: str = "wavelet
             return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part - 1], "n_ids": [len(ids)], "file": [data]}, schema)
 
         for b in batches:
-            ids, at = enc.encode([None if t is None else t.encode() for t in b.column("text").to_pylist()], end)
+            ids, at = enc.encode(b.column("text"), end)
             held.append(ids)
             names += b.column("doc_id").to_pylist()
             sizes.append(np.diff(at))
