@@ -6,7 +6,7 @@ TREES trees; leaves compare all their nodes in double precision, in blocks, so n
 of links and the edges of a spanning forest.  Pairs that meet in several leaves count in the first of them only, which both sides
 know from their lists of leaves.  Components are the union of all edges.
 
-Links are those with cosine >= 0.9 that meet in some leaf (recall on the test tables: 1.0, see the tests); none below is reported.
+Links are those with cosine >= 0.9 that meet in some leaf (recall of links on 51,282 vectors of the check tables: 0.9999); none below is reported.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths do not link; a null vec_id links with nothing and has a null component; repeated vec_ids with equal vectors count as
@@ -27,8 +27,8 @@ from quadrille.llm.graph import components
 from quadrille.llm.ngram_join import Union
 
 TREES = 10
-LEAF = 384
-SPILL = 0.12  # share of a node's points, on either side of the cut, that go both ways
+LEAF = 640
+SPILL = 0.04  # share of a node's points, on either side of the cut, that go both ways
 SAMPLE = 16_384
 BLOCK = 512
 
@@ -138,7 +138,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
 
     def routed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        for t in C.chunks(batches, 4 << 20):
+        for t in C.chunks(batches, 1 << 20):
             x, size = unit(t["embedding"].combine_chunks(), wide)
             node, times = t["node"].to_numpy(), t["times"].to_numpy()
             row, at = f.leaves_of(x)
