@@ -8,7 +8,8 @@
 3. Removals go back to the texts.  Windows that start earlier elsewhere cover words; neighbouring windows merge to maximal
    intervals, and the words in them are removed.
 
-Hashes have 64 bits: among w windows a wrong removal is expected w^2 / 2^65 times (0.0005 for 10^8 windows); a caller with more
+Seven bytes of a hash and its bucket are compared, 62 bits or more: among w windows a wrong removal is expected w^2 / 2^63 times
+(0.001 for 10^8 windows); a caller with more
 than 10^10 windows can pass a larger `n` or dedup by shard.
 
 Defined results: null or white-space text has no words; rows of one doc_id and equal text are one document given several times and
@@ -47,6 +48,17 @@ def _removals(ids: np.ndarray, th: np.ndarray, starts: np.ndarray, lengths: np.n
         yield int(part[a]), C.pack_arrays(i[first], t[first], np.diff(np.concatenate([first, [k]])).astype(np.uint32), starts[a : a + k].astype(np.uint32), lengths[a : a + k].astype(np.uint32))
 
 
+def _seven(h: np.ndarray) -> np.ndarray:
+    """The low seven bytes: a bucket shares most of the eighth."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].ravel()
+
+
+def _eight(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, :7] = b.reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
@@ -97,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     i = live[by[x:y]]
                     f, k = C.runs_of(owner[i])
                     d = owner[i][f]
-                    out.append((b, -1, C.pack_arrays(ids[d], th[d], k.astype(np.uint32), start[i].astype(np.uint16 if start.max() < 1 << 16 else np.uint32), h[i])))
+                    out.append((b, -1, C.pack_arrays(ids[d], th[d], k.astype(np.uint32), start[i].astype(np.uint16 if start.max() < 1 << 16 else np.uint32), _seven(h[i]))))
             yield _sent(out)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             got = [x for c in t.filter(pa.array(to < 0))["data"].chunks for x in C.blobs(c)]
             if not got:
                 continue
-            h = np.concatenate([x[4] for x in got])
+            h = np.concatenate([_eight(x[4]) for x in got])
             by = np.argsort(h)
             hs = h[by]
             same = hs[1:] == hs[:-1]
