@@ -1,11 +1,14 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns of
+Each stage takes (spark, docs, sf_dir), where docs has been written and reread, so it first deletes what earlier stages left in the
+shared folder; it works on all rows that its predecessor kept; all but the last return the columns of
 documents.  ``run`` writes each stage's rows in the shared folder and reads them again for the next one.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,24 @@ from quadrille.llm import common, exact_dedup, langid, ngram_join, packing, subs
 
 #: Texts are rejected that have no letter, or whose language is less sure than this.
 LEAST_SCORE = 0.3
+_LEFT: list[str] = []  # intermediate results of stages whose rows are not yet known to be stored
+
+
+def _stage(f):
+    """Before a stage runs, its predecessors' rows are stored: what they left in the shared folder goes."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(docs, _LEFT)
+        before = len(common.WRITTEN)
+        out = f(spark, docs, sf_dir)
+        _LEFT.extend(common.WRITTEN[before:])
+        return out
+
+    return run_stage
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that read as one of the languages of `lang`, as learned from all of docs."""
     common.small_batches(spark)
@@ -22,6 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("langid.lang_pred") != "und") & (F.col("langid.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of equal texts: the longest original, then the smallest doc_id."""
     keep = exact_dedup.classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("text_sha256").alias("_sha"))
@@ -30,6 +50,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(keep, ["_id", "_null", "_sha"], "left_semi").dropDuplicates(["_id", "_null", "_sha"]).select("row.*")
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of texts whose 5-word shingles are at least 80 % alike."""
     found = ngram_join.near_duplicates(docs, shingle=5, percent=80)
@@ -37,6 +58,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words in 20-word windows that occurred earlier; n_chars follows the text."""
     out = substring_dedup.remove_repeats(docs)
@@ -47,7 +69,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumns(new).select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of at most 4096 ids."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
@@ -61,6 +85,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        stored, last = last, common.WRITTEN[-1:]
+        common.release(docs, stored)
     return STAGES[-1][1](spark, docs, sf_dir)

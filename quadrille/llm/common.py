@@ -35,11 +35,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+WRITTEN: list[str] = []  # what materialise has written
+
+
+def release(docs: DataFrame, paths: list[str]) -> None:
+    """Delete these paths and take them off the list, but for what docs reads."""
+    used = docs.inputFiles() if paths else []
+    for path in list(paths):
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in used):
+            at = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            paths.remove(path)
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
