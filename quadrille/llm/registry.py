@@ -7,10 +7,10 @@ from quadrille.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from quadrille.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from quadrille.llm.langid import op7_langid
 from quadrille.llm.lm_score import op8_lm_score
-from quadrille.llm.ngram_join import op9_ngram_join
+from quadrille.llm.ngram_join import OP9_SQL, op9_ngram_join
 from quadrille.llm.packing import op10_packing
 from quadrille.llm.quality import op3_quality
-from quadrille.llm.substring_dedup import op5_substring_dedup
+from quadrille.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from quadrille.llm.wavelet import op1_wavelet
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL}

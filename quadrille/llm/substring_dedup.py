@@ -246,6 +246,17 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("dedup.n_words").alias("n_words"), F.col("dedup.n_removed").alias("n_removed"), F.sha2(F.col("dedup.kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM f, range(20) t(j) WHERE r > 1),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM e ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def removed_by_definition(texts: dict[int, str | None], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
     """The contract read literally, for tests."""
     words = {d: (t or "").encode().split() for d, t in texts.items()}
