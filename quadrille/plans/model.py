@@ -104,6 +104,12 @@ class Query:
     def variables(self) -> list[str]:
         return list(dict.fromkeys(v for p in self.body for v in p.variables))
 
+    @property
+    def predicates(self) -> set[str] | None:
+        """The constant predicates of the body; None if some predicate is a variable, so any may match."""
+        ps = [p.p for p in self.body]
+        return None if any(isinstance(x, Var) for x in ps) else {t for x in ps for t in x.terms}
+
     def check(self) -> None:
         missing = [v for v in self.head if v not in self.variables]
         if missing:

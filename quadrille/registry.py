@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quadrille.functions.hashing import MULTIPLIER, jump_hash
 from quadrille.operators import access, placement, setops, stats
 from quadrille.plans import catalog, planner
-from quadrille.plans.model import q
+from quadrille.plans.model import parse, q
+from quadrille.sources import triples as source
 from quadrille.sources.triples import rdfize, rdfize_sql
+from quadrille.streaming import weights
 
 BGP = {
     "bgp_point": q("?x", "?x inNation nation/3"),
@@ -36,28 +38,28 @@ def _add(name, run, sql=None):
 
 
 for _name, _query in BGP.items():
-    _add(_name, lambda spark, d, x=_query: planner.solve(rdfize(spark, d), x), planner.to_sql(_query))
-_add("bgp_unbound_hop_distinct", lambda s, d: planner.solve(rdfize(s, d), BGP["bgp_unbound_hop"], distinct=True), "SELECT DISTINCT * FROM (" + planner.to_sql(BGP["bgp_unbound_hop"]) + ")")
-_add("bgp_bindings", lambda s, d: planner.bindings(rdfize(s, d), BGP["bgp_tree"])["c"], "SELECT DISTINCT c FROM (" + planner.to_sql(BGP["bgp_tree"]) + ")")
-_add("bgp_edges", lambda s, d: planner.edges(rdfize(s, d), BGP["bgp_tree"])[3], "SELECT DISTINCT o AS s, 'containsPart' AS p, p AS o FROM (" + planner.to_sql(BGP["bgp_tree"]) + ")")
+    _add(_name, lambda spark, d, x=_query: planner.solve(rdfize(spark, d, x.predicates), x), planner.to_sql(_query))
+_add("bgp_unbound_hop_distinct", lambda s, d: planner.solve(rdfize(s, d, BGP["bgp_unbound_hop"].predicates), BGP["bgp_unbound_hop"], distinct=True), "SELECT DISTINCT * FROM (" + planner.to_sql(BGP["bgp_unbound_hop"]) + ")")
+_add("bgp_bindings", lambda s, d: planner.bindings(rdfize(s, d, BGP["bgp_tree"].predicates), BGP["bgp_tree"])["c"], "SELECT DISTINCT c FROM (" + planner.to_sql(BGP["bgp_tree"]) + ")")
+_add("bgp_edges", lambda s, d: planner.edges(rdfize(s, d, BGP["bgp_tree"].predicates), BGP["bgp_tree"])[3], "SELECT DISTINCT o AS s, 'containsPart' AS p, p AS o FROM (" + planner.to_sql(BGP["bgp_tree"]) + ")")
 _add("triples_view", rdfize, "SELECT s, p, o FROM triples")
-_add("entities_out", lambda s, d: access.entities(rdfize(s, d), "placedBy"), "SELECT DISTINCT s AS v FROM triples WHERE p = 'placedBy'")
-_add("entities_in", lambda s, d: access.entities(rdfize(s, d), "placedBy", "IN"), "SELECT DISTINCT o AS v FROM triples WHERE p = 'placedBy'")
-_add("entities_set", lambda s, d: access.entities(rdfize(s, d), ["brand", "segment"]), "SELECT DISTINCT s AS v FROM triples WHERE p IN ('brand', 'segment')")
-_add("class_index", lambda s, d: access.class_members(rdfize(s, d), "Part"), "SELECT s AS v FROM triples WHERE p = 'rdf:type' AND o = 'Part'")
+_add("entities_out", lambda s, d: access.entities(rdfize(s, d, {"placedBy"}), "placedBy"), "SELECT DISTINCT s AS v FROM triples WHERE p = 'placedBy'")
+_add("entities_in", lambda s, d: access.entities(rdfize(s, d, {"placedBy"}), "placedBy", "IN"), "SELECT DISTINCT o AS v FROM triples WHERE p = 'placedBy'")
+_add("entities_set", lambda s, d: access.entities(rdfize(s, d, {"brand", "segment"}), ["brand", "segment"]), "SELECT DISTINCT s AS v FROM triples WHERE p IN ('brand', 'segment')")
+_add("class_index", lambda s, d: access.class_members(rdfize(s, d, {"rdf:type"}), "Part"), "SELECT s AS v FROM triples WHERE p = 'rdf:type' AND o = 'Part'")
 _add("predicates_of", lambda s, d: access.predicates(rdfize(s, d), "order/7"), "SELECT DISTINCT p FROM triples WHERE s = 'order/7'")
 _add("predicates_in", lambda s, d: access.predicates(rdfize(s, d), "customer/7", "IN"), "SELECT DISTINCT p FROM triples WHERE o = 'customer/7'")
-_add("neighbours_out", lambda s, d: access.neighbours(rdfize(s, d), "order/7", "containsPart"), "SELECT o AS v FROM triples WHERE s = 'order/7' AND p = 'containsPart'")
-_add("neighbours_in", lambda s, d: access.neighbours(rdfize(s, d), "nation/3", "inNation", "IN"), "SELECT s AS v FROM triples WHERE o = 'nation/3' AND p = 'inNation'")
+_add("neighbours_out", lambda s, d: access.neighbours(rdfize(s, d, {"containsPart"}), "order/7", "containsPart"), "SELECT o AS v FROM triples WHERE s = 'order/7' AND p = 'containsPart'")
+_add("neighbours_in", lambda s, d: access.neighbours(rdfize(s, d, {"inNation"}), "nation/3", "inNation", "IN"), "SELECT s AS v FROM triples WHERE o = 'nation/3' AND p = 'inNation'")
 _add("neighbourhood", lambda s, d: access.neighbourhood(rdfize(s, d), "nation/3"), "SELECT o AS v FROM triples WHERE s = 'nation/3' UNION SELECT s FROM triples WHERE o = 'nation/3'")
 _add("exists", lambda s, d: access.exists(rdfize(s, d), s.range(0, 40).select(F.concat(F.lit("nation/"), "id").alias("v"))), "SELECT 'nation/' || i AS v FROM range(40) t(i) WHERE 'nation/' || i IN (SELECT s FROM triples UNION SELECT o FROM triples)")
 _add("adjacency_sizes", lambda s, d: access.adjacency(rdfize(s, d)).select("v", "p", F.size("o_vals").cast("long").alias("n")), "SELECT s AS v, p, count(*) AS n FROM triples GROUP BY 1, 2")
 _add("predicate_stats", lambda s, d: stats.predicate_stats(rdfize(s, d)), "SELECT p, count(*) AS n_triples, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM triples GROUP BY p")
 _add("vertex_stats", lambda s, d: stats.vertex_stats(rdfize(s, d)), "SELECT v, count(*) AS n_edges, count(DISTINCT o) AS n_objects FROM (SELECT s AS v, o FROM triples UNION ALL SELECT o, NULL FROM triples) GROUP BY v")
-_add("set_intersect", lambda s, d: setops.intersect(access.entities(rdfize(s, d), "did"), access.entities(rdfize(s, d), "placedBy", "IN")), "SELECT DISTINCT s AS v FROM triples WHERE p = 'did' AND s IN (SELECT o FROM triples WHERE p = 'placedBy')")
-_add("set_difference", lambda s, d: setops.difference(access.entities(rdfize(s, d), "segment"), access.entities(rdfize(s, d), "did")), "SELECT s AS v FROM triples WHERE p = 'segment' AND s NOT IN (SELECT s FROM triples WHERE p = 'did')")
-_add("set_union", lambda s, d: setops.union(access.entities(rdfize(s, d), "brand"), access.entities(rdfize(s, d), "segment")), "SELECT s AS v FROM triples WHERE p = 'brand' UNION SELECT s FROM triples WHERE p = 'segment'")
-_add("star_candidates", lambda s, d: setops.intersect_many(*[planner.match(rdfize(s, d), x) for x in BGP["bgp_star"].body]), planner.to_sql(BGP["bgp_star"]))
+_add("set_intersect", lambda s, d: setops.intersect(access.entities(rdfize(s, d, {"did"}), "did"), access.entities(rdfize(s, d, {"placedBy"}), "placedBy", "IN")), "SELECT DISTINCT s AS v FROM triples WHERE p = 'did' AND s IN (SELECT o FROM triples WHERE p = 'placedBy')")
+_add("set_difference", lambda s, d: setops.difference(access.entities(rdfize(s, d, {"segment"}), "segment"), access.entities(rdfize(s, d, {"did"}), "did")), "SELECT s AS v FROM triples WHERE p = 'segment' AND s NOT IN (SELECT s FROM triples WHERE p = 'did')")
+_add("set_union", lambda s, d: setops.union(access.entities(rdfize(s, d, {"brand"}), "brand"), access.entities(rdfize(s, d, {"segment"}), "segment")), "SELECT s AS v FROM triples WHERE p = 'brand' UNION SELECT s FROM triples WHERE p = 'segment'")
+_add("star_candidates", lambda s, d: setops.intersect_many(*[planner.match(rdfize(s, d, BGP["bgp_star"].predicates), x) for x in BGP["bgp_star"].body]), planner.to_sql(BGP["bgp_star"]))
 _add("order_batch", lambda s, d: setops.batch(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), "o_custkey")), "SELECT o_orderkey AS seq, o_custkey FROM orders ORDER BY 1 LIMIT 1000")
 _add("query_catalog", lambda s, d: catalog.as_rows(s))
 
@@ -89,3 +91,110 @@ UNION ALL SELECT v, k, nxt, floor((nxt + 1) * (2147483648.0::DOUBLE / ((k // 858
 FROM (SELECT *, (key * {MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM j WHERE nxt < 10))
 SELECT v, arg_max(b, step)::INTEGER AS server FROM j GROUP BY v""",
 )
+
+
+# ---------------------------------------------------------------- dictionary, storage, text queries, workloads
+
+
+def _roundtrip(s, d):
+    t = rdfize(s, d)
+    known = source.build_dictionary(t)
+    return source.decode(source.encode(t, known), known)
+
+
+def _stored_tree(s, d):
+    """The tree query over triples written and read with a folder for each predicate."""
+    t = rdfize(s, d, BGP["bgp_tree"].predicates)
+    path = source.fresh_path(s, "triples")
+    source.write(t, path)
+    return planner.solve(source.read(s, path), BGP["bgp_tree"])
+
+
+TEXT = "SELECT ?v0 ?v1 WHERE {\n\t?v0 inNation ?v1 .\n\t?v0 segment MACHINERY .\n\t?v1 inRegion region/0 .\n}\n"
+REGIONS = [f"region/{i}" for i in range(5)]
+WORKLOAD = catalog.workload([(BGP["bgp_chain"], 2, "o", REGIONS), (BGP["bgp_object_disjunction"], 2, "o", REGIONS), (BGP["bgp_point"], 0, "o", [f"nation/{i}" for i in range(25)])], [40, 30, 30], 10, seed=7)
+
+
+def _workload_counts(s, d):
+    """Solutions of each query of a seeded workload."""
+    parts = [planner.solve(rdfize(s, d, x.predicates), x).agg(F.count("*").alias("n")).select(F.lit(i).alias("number"), "n") for i, x in enumerate(WORKLOAD)]
+    return setops.union_all(*parts)
+
+
+_add("dictionary_roundtrip", _roundtrip, "SELECT s, p, o FROM triples")
+_add("stored_tree", _stored_tree, planner.to_sql(BGP["bgp_tree"]))
+_add("bgp_text", lambda s, d: planner.solve(rdfize(s, d, parse(TEXT).predicates), parse(TEXT)), planner.to_sql(parse(TEXT)))
+_add("bgp_given", lambda s, d: planner.solve(rdfize(s, d, {"inNation"}), q("?x ?n", "?x inNation ?n"), given=s.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 2").select(F.concat(F.lit("nation/"), "n_nationkey").alias("n"))), "SELECT s AS x, o AS n FROM triples WHERE p = 'inNation' AND o IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 2)")
+_add("bgp_reduced", lambda s, d: planner.reduce_semi(rdfize(s, d, BGP["bgp_tree"].predicates), BGP["bgp_tree"])[3], "SELECT DISTINCT o, p FROM (" + planner.to_sql(BGP["bgp_tree"]) + ")")
+_add("workload_counts", _workload_counts, " UNION ALL ".join(f"SELECT {i} AS number, count(*) AS n FROM ({planner.to_sql(x)})" for i, x in enumerate(WORKLOAD)))
+_add("term_instances", lambda s, d: catalog.instances(access.entities(rdfize(s, d, {"placedBy"}), "placedBy").select(F.col("v").alias("term")), "order/1", "7"), "SELECT DISTINCT s AS term FROM triples WHERE p = 'placedBy' AND regexp_full_match(s, 'order/1[0-9]*7')")
+
+
+# ---------------------------------------------------------------- multisets
+
+
+def _placed(s, d, status):
+    return s.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("v"))
+
+
+def _users(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("v"))
+
+
+_P, _O = ("SELECT o_custkey AS v FROM orders WHERE o_orderstatus = '%s'" % x for x in "PO")
+_add("multiset_intersect", lambda s, d: setops.intersect(_placed(s, d, "P"), _placed(s, d, "O")), f"{_P} INTERSECT ALL {_O}")
+_add("difference_keeps_repeats", lambda s, d: setops.difference(_placed(s, d, "P"), _users(s, d)), f"{_P} AND o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+_add("union_append", lambda s, d: setops.union_all(_placed(s, d, "P"), _users(s, d)), f"{_P} UNION ALL SELECT user_id FROM events")
+_add("sorted_distinct", lambda s, d: setops.sorted_distinct(_placed(s, d, "P")), f"SELECT DISTINCT v FROM ({_P}) ORDER BY v")
+_add(
+    "adjacency_merged",
+    lambda s, d: setops.dedup_adjacency(setops.union_all(*[access.adjacency(rdfize(s, d, p)) for p in ({"did", "segment"}, {"did", "inNation"})])).select("v", "p", F.explode("o_vals").alias("o")),
+    "SELECT s AS v, p, o FROM triples WHERE p IN ('did', 'segment', 'inNation')",
+)
+
+
+# ---------------------------------------------------------------- statistics and placement
+
+
+def _candidates(s, d, n=3):
+    """A row for each vertex and server with what the balance score asks for."""
+    at = _located(s, d, n)
+    wide = stats.doi_wide(stats.doi(_edges(s, d), at), n)
+    long = wide.select("v", F.expr("stack(3, 0, s0, 1, s1, 2, s2) AS (server, locality)")).join(at.withColumnRenamed("server", "current"), "v")
+    per = long.groupBy("server").agg(F.sum("locality").alias("server_weight"), F.sum((F.col("locality") > 0).cast("long")).alias("active"))
+    total = long.groupBy("v").agg(F.sum("locality").alias("own"))
+    out = long.join(total, "v").join(per, "server").join(per.select(F.col("server").alias("current"), F.col("server_weight").alias("source_weight")), "current")
+    mean = per.agg((F.sum("server_weight") / n).alias("average"))  # one row
+    return out.crossJoin(F.broadcast(mean)).withColumns({"edges": F.col("own"), "weight": F.col("own"), "previous": F.lit(0)})
+
+
+_WIDE = "SELECT v, sum(CASE WHEN server = 0 THEN cnt ELSE 0 END)::BIGINT AS s0, sum(CASE WHEN server = 1 THEN cnt ELSE 0 END)::BIGINT AS s1, sum(CASE WHEN server = 2 THEN cnt ELSE 0 END)::BIGINT AS s2 FROM doi GROUP BY v"
+_SCORES = f"""{_E}, wide AS ({_WIDE}), long AS (SELECT v, v % 3 AS cur, s0 + s1 + s2 AS own, k AS server, CASE k WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS locality FROM wide, range(3) r(k)),
+per AS (SELECT server, sum(locality) AS weight, sum((locality > 0)::INT) AS active FROM long GROUP BY server), mean AS (SELECT sum(weight) / 3 AS average FROM per),
+scored AS (SELECT l.*, CASE WHEN src.weight - own < average * (2 - 1.1::DOUBLE) OR dst.weight + own > average * 1.1::DOUBLE THEN '-inf'::DOUBLE WHEN dst.active = 0 THEN locality ELSE locality - floor(dst.weight / (3 * dst.active)) END AS score
+FROM long l JOIN per dst ON dst.server = l.server JOIN per src ON src.server = cur, mean)
+SELECT v, CASE WHEN own >= 2 AND score > '-inf'::DOUBLE THEN server END AS target FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, server <> cur, server) AS n FROM scored) WHERE n = 1"""
+_add("doi_wide", lambda s, d: stats.doi_wide(stats.doi(_edges(s, d), _located(s, d)), 3), f"WITH {_E} {_WIDE}")
+_add("balance_target", lambda s, d: placement.balance_target(_candidates(s, d)), f"WITH {_SCORES}")
+_add("predicate_hosts", lambda s, d: access.servers_of_predicate(_edges(s, d), 9, F.pmod(F.col("v"), F.lit(3))), f"WITH {_E} SELECT DISTINCT s % 3 AS server FROM e")
+
+
+def _customers(s, d):
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("v"), "c_nationkey", "c_mktsegment")
+
+
+def _overrides(s, d):
+    return _customers(s, d).where("c_nationkey = 3").select("v", F.lit(7).cast("long").alias("server"))
+
+
+_HOME = "pmod(v, 3L)"
+_add("located", lambda s, d: access.locate(_customers(s, d), F.expr(_HOME), _overrides(s, d)), "SELECT c_custkey AS v, CASE WHEN c_nationkey = 3 THEN 7 ELSE c_custkey % 3 END AS server FROM customer")
+_add("vertices_by_server", lambda s, d: access.by_server(access.locate(_customers(s, d), F.expr(_HOME))).select("server", F.size("vs").cast("long").alias("n"), F.element_at("vs", 1).alias("first")), "SELECT c_custkey % 3 AS server, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
+_add("moved_places", lambda s, d: placement.move(_overrides(s, d), _customers(s, d).where("c_mktsegment = 'BUILDING'").select("v", F.expr("pmod(v, 2L)").alias("target")), F.expr(_HOME)), "SELECT v, server FROM (SELECT c_custkey AS v, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey % 2 WHEN c_nationkey = 3 THEN 7 ELSE c_custkey % 3 END AS server FROM customer) WHERE server <> v % 3")
+_add("edge_weights", lambda s, d: weights.edge_weights(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("o"))), "SELECT l_partkey AS v1, l_suppkey AS v2, count(*) AS weight FROM lineitem GROUP BY 1, 2")
+_add("windowed_weights", lambda s, d: weights.windowed_weights(s.read.parquet(f"{d}/events.parquet").select("ts", F.col("user_id").alias("s"))).withColumn("start", F.unix_timestamp("start")), "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, user_id AS v, count(*) AS weight FROM events GROUP BY 1, 2")
+_add(
+    "run_summary",
+    lambda s, d: stats.run_summary(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("query"), F.col("l_quantity").alias("elapsed"), F.col("l_discount").alias("eval_time"), F.col("l_linenumber").cast("long").alias("edge_cut"))),
+    "SELECT l_orderkey AS query, max(l_quantity) AS elapsed, max(l_discount) AS eval_time, sum(l_linenumber)::BIGINT AS edge_cut FROM lineitem GROUP BY 1",
+)

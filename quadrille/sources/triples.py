@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +26,22 @@ VIEW = [
 REPEATED = {"containsPart", "suppliedBy", "did"}
 
 
-def rdfize(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rdfize(spark: SparkSession, sf_dir: str, predicates: set[str] | None = None) -> DataFrame:
     """triples(s, p, o) of the relational tables, as a set.  Each predicate is its own branch with a constant p, so a query on one
-    predicate reads one table and two columns; only branches whose rows repeat are made distinct."""
+    predicate reads one table and two columns; only branches whose rows repeat are made distinct.  With `predicates` given, other
+    branches are not planned and tables that hold none of them are not opened."""
     parts = []
     for table, prefix, key, facts in VIEW:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        facts = [x for x in facts if predicates is None or x[0] in predicates]
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet") if facts else None
+        subject = F.concat(F.lit(prefix), F.col(key).cast("string")).alias("s")
         for p, to, column in facts:
-            o = F.lit(column[1:-1]) if column.startswith("'") else F.concat(F.lit(to), F.col(column).cast("string")) if to else F.col(column)
-            one = rows.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o")).where("s is not null and o is not null")
-            if p in REPEATED:
-                pair = [key, column]
-                one = rows.select(*pair).distinct().select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("s"), F.lit(p).alias("p"), (F.concat(F.lit(to), F.col(column).cast("string")) if to else F.col(column)).alias("o")).where("s is not null and o is not null")
-            parts.append(one)
-    return reduce(DataFrame.unionAll, parts)
+            constant = column.startswith("'")
+            o = F.lit(column[1:-1]) if constant else F.concat(F.lit(to), F.col(column).cast("string")) if to else F.col(column)
+            pairs = rows.select(key, column).distinct() if p in REPEATED else rows
+            known = F.col(key).isNotNull() if constant else F.col(key).isNotNull() & F.col(column).isNotNull()
+            parts.append(pairs.where(known).select(subject, F.lit(p).alias("p"), o.alias("o")))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "s string, p string, o string")
 
 
 def rdfize_sql() -> str:
@@ -86,12 +89,25 @@ def insert(triples: DataFrame, more: DataFrame) -> DataFrame:
     return triples.unionByName(more).dropDuplicates(["s", "p", "o"])
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir (a folder of this machine where that is unset, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quadrille-shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_dictionary(triples: DataFrame) -> DataFrame:
-    """dict(term, id) of all terms.  rdf:type is 1; the rest get ids in ranges of a range partitioning: unique, never 0 or 1, and
-    made without one global sort in one task."""
+    """dict(term, id) of all terms, stored: each use of it must see the same ids, which a range partitioning made anew would not
+    promise.  rdf:type is 1; the rest get ids in ranges: unique, never 0 or 1, and made without one global sort in one task."""
     terms = triples.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct()
     ids = terms.where(F.col("term") != TYPE).repartitionByRange("term").sortWithinPartitions("term").select("term", (F.monotonically_increasing_id() + 2).alias("id"))
-    return ids.unionAll(terms.where(F.col("term") == TYPE).select("term", F.lit(TYPE_ID).cast("long").alias("id")))
+    return stored(ids.unionAll(terms.where(F.col("term") == TYPE).select("term", F.lit(TYPE_ID).cast("long").alias("id"))), "dictionary")
 
 
 def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
