@@ -37,17 +37,20 @@ def _stage(f):
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that read as one of the languages of `lang`, as learned from all of docs."""
     common.small_batches(spark)
-    out = langid.identify(docs, *langid.train(docs.select("doc_id", "text", "lang")))
-    return out.where((F.col("langid.lang_pred") != "und") & (F.col("langid.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = common.free_name(docs, "langid")
+    out = langid.identify(docs, *langid.train(docs.select("doc_id", "text", "lang")), into=found)
+    return out.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*common.own(docs))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of equal texts: the longest original, then the smallest doc_id."""
+    """Keeps one row of equal texts: the longest original, then the smallest doc_id; of several rows of that doc_id one, the longest."""
     keep = exact_dedup.classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("text_sha256").alias("_sha"))
     norm = F.translate(F.coalesce("text", F.lit("")), common.SPACES.decode(), "")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.sha2(norm.cast("binary"), 256).alias("_sha"))
-    return keyed.join(keep, ["_id", "_null", "_sha"], "left_semi").dropDuplicates(["_id", "_null", "_sha"]).select("row.*")
+    longest = F.struct(F.length("row.text").alias("n"), F.xxhash64("row.text").alias("h"))
+    keyed = docs.select(F.struct(*common.own(docs)).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.sha2(norm.cast("binary"), 256).alias("_sha"))
+    one = keyed.join(keep, ["_id", "_null", "_sha"], "left_semi").groupBy("_id", "_null", "_sha").agg(F.max_by("row", longest).alias("row"))
+    return one.select("row.*")
 
 
 @_stage
@@ -55,18 +58,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of texts whose 5-word shingles are at least 80 % alike."""
     found = ngram_join.near_duplicates(docs, shingle=5, percent=80)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*common.own(docs))
 
 
 @_stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words in 20-word windows that occurred earlier; n_chars follows the text."""
-    out = substring_dedup.remove_repeats(docs)
-    changed = F.col("dedup.n_removed") > 0
-    new = {"text": F.when(changed, F.col("dedup.kept")).otherwise(F.col("text"))}
+    found = common.free_name(docs, "dedup")
+    out = substring_dedup.remove_repeats(docs, into=found)
+    changed, kept = F.col(f"{found}.n_removed") > 0, F.col(f"{found}.kept")
+    new = {"text": F.when(changed, kept).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("dedup.kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*common.own(docs))
 
 
 @_stage

@@ -62,18 +62,44 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+UNKNOWN = 1 << 62  # the optimizer's estimate of what it knows nothing about is 2**63 - 1, before it scales it by columns
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df: the optimizer's estimate, at most that of its leaves (joins multiply); measured where a leaf has none."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if all(x < UNKNOWN for x in sizes):
+        return min(int(str(plan.stats().sizeInBytes())), sum(sizes))
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    wide += [F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 8 for f in df.schema if f.dataType.simpleString().startswith("array")]
+    return df.agg(F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long"))).first()[0] or 0
+
+
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many buckets an exchange of data in proportion to df gets; from the optimizer's size estimate, without a job."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(least, min(size // bytes_each + 1, 1 << 20))) if size < 1 << 60 else least
+    """How many buckets an exchange of data in proportion to df gets."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(size_of(df) // bytes_each + 1, 1 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def own(docs: DataFrame, but: tuple[str, ...] = ()) -> list:
+    """The columns of docs by their exact names, whatever characters these hold, without some (in any case of letters)."""
+    return [F.col(f"`{c.replace('`', '``')}`").alias(c) for c in docs.columns if c.lower() not in but]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id, m: int):
     """crc32 of the id as text, modulo m, as a column; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

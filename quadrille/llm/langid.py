@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quadrille.llm import common as C
 
@@ -193,10 +194,11 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     return langs, fit([bytes(w) for w in rows["word"]], rows["lang"].map(where).to_numpy().astype(np.int64), len(langs))
 
 
-def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray]) -> DataFrame:
-    """docs (text and any other columns) with a struct column `langid`: lang_pred, score."""
+def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray], into: str = "langid") -> DataFrame:
+    """docs (text and any other columns) with a struct column `into`: lang_pred, score.  It replaces an input column of that name."""
     held = docs.sparkSession.sparkContext.broadcast((langs, network))  # 60 KB
-    rest = F.struct(*docs.columns).alias("row")
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    rest = F.struct(*C.own(docs, (into.lower(),))).alias("row")
     packed = docs.select(F.col("text"), rest)
 
     def labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +216,9 @@ def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray])
             for i in range(0, whole.num_rows, 1024):
                 yield whole.slice(i, 1024)
 
-    out = packed.mapInArrow(labelled, f"row {packed.schema['row'].dataType.simpleString()}, langid struct<lang_pred:string,score:double>")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "langid")
+    schema = StructType([packed.schema["row"], StructField("langid", StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
+    out = packed.mapInArrow(labelled, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("langid").alias(into))
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from quadrille.llm import common as C
 
@@ -63,15 +64,17 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup") -> DataFrame:
     """docs (doc_id, text and any other columns) with: kept (text without the removed words), kept_words (those left, joined by
-    one space), n_words, n_removed, removed (maximal intervals of word positions, end excluded); all in struct `dedup`."""
+    one space), n_words, n_removed, removed (maximal intervals of word positions, end excluded); all in a struct column `into`,
+    which replaces an input column of that name."""
     spark = docs.sparkSession
     C.small_batches(spark)
     n = C.buckets_for(docs.select("text"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    but = ("doc_id", "text", into.lower())
+    rest = [c for c in docs.columns if c.lower() not in but]
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", "text", key.alias("th"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest"))
+    keyed = docs.select("doc_id", "text", key.alias("th"), F.struct(*C.own(docs, but)).alias("rest") if rest else F.lit(None).cast("int").alias("rest"))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
@@ -167,9 +170,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rest_type = keyed.schema["rest"].dataType
     none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("th"), F.lit(None).cast(rest_type).alias("rest")]
     both = back.select(F.col("to").alias("part"), F.lit(0).alias("kind"), "data", *none).unionAll(keyed.select(part, F.lit(1), F.lit(None).cast("binary"), "doc_id", "text", "th", "rest"))
-    added = "struct<kept:string,kept_words:string,n_words:long,n_removed:long,removed:array<struct<from:int,to:int>>>"
-    out = C.exchange(both, n, "part", "kind").mapInArrow(cut, f"doc_id long, text string, rest {rest_type.simpleString()}, dedup {added}")
-    return out.select("doc_id", "text", *([F.col(f"rest.`{c}`").alias(c) for c in rest] if rest else []), "dedup")
+    interval = ArrayType(StructType([StructField("from", IntegerType()), StructField("to", IntegerType())]))
+    added = StructType([StructField("kept", StringType()), StructField("kept_words", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("removed", interval)])
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("rest", rest_type), StructField("dedup", added)])
+    out = C.exchange(both, n, "part", "kind").mapInArrow(cut, schema)
+    return out.select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in rest], F.col("dedup").alias(into))
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:

@@ -266,6 +266,51 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in cut.collect()}
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeats, an empty table, and columns that clash with names used inside."""
+    import corpus_pipeline as cp
+    from quadrille.llm.common import materialise
+
+    odd = ("langid", "dedup", "DEDUP_", "row", "_id", "th", "part", "a b")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in odd)
+    rows = [(d, t, None if i % 4 == 0 else "en", None, None if t is None else len(t), *["z"] * len(odd)) for i, (d, t) in enumerate([*ROWS, (14, "same id"), (14, "same  id")])]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for i, (name, stage) in enumerate(cp.STAGES):
+            out = stage(spark, docs, "")  # each stage on the raw rows
+            alone = out.collect()
+            if i < 4:
+                assert out.columns == docs.columns
+                assert all(r["langid"] == r["DEDUP_"] == r["a b"] == "z" for r in alone)
+            if not given:
+                assert alone == []
+            elif name == "language_id":
+                assert {r.doc_id for r in alone} <= {1, 2, 3, 7, 8, 9, 11, 12, 13, 14, None} and len(alone) == 13
+            elif name == "exact_dedup":
+                assert sorted(r.doc_id for r in alone if r.doc_id is not None) == [1, 3, 6, 7, 9, 10, 11, 12, 13, 14] and len(alone) == 11
+                assert [r.text for r in alone if r.doc_id == 14] == ["same  id"]
+            elif name == "near_dedup":
+                assert {r.doc_id for r in alone} == {None, *(c for _, c in ngram_join.components_by_definition({**UNIQUE, 14: "same id"}, 5, 80).values())}
+            elif name == "substring_dedup":
+                assert len(alone) == len(rows) and all((r.text is None) == (r.doc_id == 4) for r in alone)
+        out = docs
+        for _, stage in cp.STAGES:
+            out = materialise(stage(spark, out, ""), "t")
+        assert (out.count() > 0) == bool(given)
+
+
+def test_buckets_follow_measured_size_without_statistics(spark):
+    wide = spark.createDataFrame([(1, "x", *["z"] * 10)], f"doc_id long, text string, {CLASH}")
+    assert C.buckets_for(wide.select("text")) == C.buckets_for(wide) == C.buckets_for(wide.join(wide, "doc_id")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_clashing_struct_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two", "z", "z")], "doc_id long, text string, dedup string, `Langid` string")
+    assert substring_dedup.remove_repeats(docs).collect()[0].dedup.n_words == 2
+    out = langid.identify(docs, *langid.train(docs.limit(0).selectExpr("doc_id", "text", "dedup AS lang")))
+    assert out.columns == ["doc_id", "text", "dedup", "langid"] and out.collect()[0].langid.lang_pred == "und"
+
+
 def test_vectors_of_words():
     texts = pa.array(["", None, " a  bc\n", "x" * 40, "  é"])
     data, at = C.text_bytes(texts)
