@@ -72,9 +72,14 @@ def size_of(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     if all(x < UNKNOWN for x in sizes):
         return min(int(str(plan.stats().sizeInBytes())), sum(sizes))
-    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
-    wide += [F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 8 for f in df.schema if f.dataType.simpleString().startswith("array")]
-    return df.agg(F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long"))).first()[0] or 0
+    flat, total = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), F.lit(16 * len(df.columns))
+    for f in flat.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind.startswith("array"):
+            total += F.greatest(F.size(f.name), F.lit(0)) * 8
+    return flat.agg(F.sum(total.cast("long"))).first()[0] or 0
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
