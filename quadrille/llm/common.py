@@ -82,10 +82,10 @@ def size_of(df: DataFrame) -> int:
     return flat.agg(F.sum(total.cast("long"))).first()[0] or 0
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many buckets an exchange of data in proportion to df gets."""
+def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, size: int | None = None) -> int:
+    """How many buckets an exchange of data in proportion to df gets; size: its bytes, where they are known already."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(size_of(df) // bytes_each + 1, 1 << 20))
+    return max(least, min((size_of(df) if size is None else size) // bytes_each + 1, 1 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,14 +172,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, eight bytes a step."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes, eight bytes a step; another seed gives an independent hash."""
     if not len(starts):
         return np.zeros(0, U64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
     lengths = ends - starts
-    h = mix(lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
+    h = mix(lengths.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
     live, k = None, 0
     while True:
         if k == 0:

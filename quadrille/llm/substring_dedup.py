@@ -8,9 +8,9 @@
 3. Removals go back to the texts.  Windows that start earlier elsewhere cover words; neighbouring windows merge to maximal
    intervals, and the words in them are removed.
 
-Seven bytes of a hash and its bucket are compared, 62 bits or more: among w windows a wrong removal is expected w^2 / 2^63 times
-(0.001 for 10^8 windows); a caller with more
-than 10^10 windows can pass a larger `n` or dedup by shard.
+What is compared grows with the input: seven bytes of a window's hash with its bucket, and as many bytes of a second, independent
+hash as keep the expected number of wrong matches in the whole table below 1/16 (`second_bytes`: none at 0.5 GB, one at 30 GB, four at
+100 TB).
 
 Defined results: null or white-space text has no words; rows of one doc_id and equal text are one document given several times and
 get one result; rows of one doc_id and different texts are different documents, ordered by a hash of their texts; a null doc_id
@@ -20,6 +20,7 @@ comes after all others; an empty table gives no rows; other columns pass through
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from itertools import compress
 
@@ -33,6 +34,7 @@ from quadrille.llm import common as C
 
 WINDOW = 20
 _NONE = (1 << 63) - 1
+_SECOND = 0x9E6C63D0876A9A35  # seed of the second hash
 _SENT = pa.schema([("bucket", pa.int32()), ("to", pa.int32()), ("data", pa.binary())])
 _SENT_SQL = "bucket int, to int, data binary"
 
@@ -49,28 +51,47 @@ def _removals(ids: np.ndarray, th: np.ndarray, starts: np.ndarray, lengths: np.n
         yield int(part[a]), C.pack_arrays(i[first], t[first], np.diff(np.concatenate([first, [k]])).astype(np.uint32), starts[a : a + k].astype(np.uint32), lengths[a : a + k].astype(np.uint32))
 
 
-def _seven(h: np.ndarray) -> np.ndarray:
-    """The low seven bytes: a bucket shares most of the eighth."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].ravel()
+def second_bytes(size: int, n: int) -> int:
+    """Bytes of the second hash for a table of `size` bytes in n buckets.  w windows, at most one for two bytes, make w^2 / 2 pairs;
+    seven bytes and the bucket (which knows the top of the eighth) tell 56 + min(8, log2 n) bits of the first hash."""
+    bits = 2 * math.log2(max(size // 2, 2)) - 1 + 4
+    return min(8, max(0, math.ceil((bits - 56 - min(8.0, math.log2(n))) / 8)))
 
 
-def _eight(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 7, 8), np.uint8)
-    out[:, :7] = b.reshape(-1, 7)
+def _low(h: np.ndarray, k: int = 7) -> np.ndarray:
+    """The low k bytes of each hash: a bucket shares most of the eighth."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].ravel()
+
+
+def _whole(b: np.ndarray, k: int = 7) -> np.ndarray:
+    out = np.zeros((len(b) // k, 8), np.uint8)
+    out[:, :k] = b.reshape(-1, k)
     return out.view("<u8").ravel()
 
 
+def _sorted(h: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal hashes (and equal second ones) together, early ones first, and whether each equals its predecessor."""
+    by = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
+    same = np.zeros(len(h), bool)
+    same[1:] = h[by[1:]] == h[by[:-1]]
+    if g is not None:
+        same[1:] &= g[by[1:]] == g[by[:-1]]
+    return by, same
+
+
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup", more: int | None = None) -> DataFrame:
     """docs (doc_id, text and any other columns) with: kept (text without the removed words), kept_words (those left, joined by
     one space), n_words, n_removed, removed (maximal intervals of word positions, end excluded); all in a struct column `into`,
-    which replaces an input column of that name."""
+    which replaces an input column of that name.  more: bytes of the second hash, by the table's size if not given."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    n = C.buckets_for(docs.select("text"))
+    size = C.size_of(docs.select("text"))
+    n = C.buckets_for(docs, size=size)
+    more = second_bytes(size, n) if more is None else more
     but = ("doc_id", "text", into.lower())
     rest = [c for c in docs.columns if c.lower() not in but]
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -92,11 +113,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup") -
             if not len(pos):
                 continue
             h = C.rolling(h, window)[pos]
+            g = C.rolling(C.word_hashes(data, first, last, _SECOND), window)[pos] if more else None
             owner = np.repeat(np.arange(len(ids)), np.diff(win_at))
             start = pos - words_at[owner]
-            by = np.argsort(h, kind="stable")
+            by, same = _sorted(h, g)
             again = np.zeros(len(h), bool)
-            again[by[1:]] = h[by[1:]] == h[by[:-1]]
+            again[by] = same
             out: list[tuple] = []
             gone = np.flatnonzero(again)
             if len(gone):  # neighbouring windows of a text as one run
@@ -112,7 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup") -
                     i = live[by[x:y]]
                     f, k = C.runs_of(owner[i])
                     d = owner[i][f]
-                    out.append((b, -1, C.pack_arrays(ids[d], th[d], k.astype(np.uint32), start[i].astype(np.uint16 if start.max() < 1 << 16 else np.uint32), _seven(h[i]))))
+                    out.append((b, -1, C.pack_arrays(ids[d], th[d], k.astype(np.uint32), start[i].astype(np.uint16 if start.max() < 1 << 16 else np.uint32), _low(h[i]), *([_low(g[i], more)] if more else []))))
             yield _sent(out)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +147,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup") -
             got = [x for c in t.filter(pa.array(to < 0))["data"].chunks for x in C.blobs(c)]
             if not got:
                 continue
-            h = np.concatenate([_eight(x[4]) for x in got])
-            by = np.argsort(h)
-            hs = h[by]
-            same = hs[1:] == hs[:-1]
+            h = np.concatenate([_whole(x[4]) for x in got])
+            g = np.concatenate([_whole(x[5], more) for x in got]) if more else None
+            by, same = _sorted(h, g)
             many = np.zeros(len(h), bool)
-            many[by[1:][same]] = True
-            many[by[:-1][same]] = True
+            many[by[same]] = True
+            many[by[:-1][same[1:]]] = True
+            if more:  # a number for each pair of hashes
+                h[by] = np.cumsum(~same).astype(h.dtype)
             sub = np.flatnonzero(many)
             if not len(sub):
                 continue

@@ -108,6 +108,15 @@ def test_substring_dedup(docs, empty):
             assert (r.dedup.n_words, r.dedup.n_removed, hashlib.sha256(r.dedup.kept_words.encode()).hexdigest()) == want[d]
             assert r.kind == "z" and r.dedup.kept.split() == r.dedup.kept_words.split() if r.text else True
     assert substring_dedup.remove_repeats(empty).count() == 0
+    for more in (1, 4):  # bytes of the second hash that larger tables need
+        wide = by_id(substring_dedup.remove_repeats(docs, more=more))
+        assert {d: [r.dedup for r in x] for d, x in wide.items()} == {d: [r.dedup for r in x] for d, x in got.items()}
+
+
+def test_second_hash_follows_the_size():
+    assert [substring_dedup.second_bytes(size, max(64, size // (8 << 20) + 1)) for size in (0, 1 << 29, 30 << 30, 100 << 40)] == [0, 0, 1, 4]
+    h, g = np.array([5, 7, 5, 5], np.uint64), np.array([1, 1, 2, 1], np.uint64)
+    assert [substring_dedup._sorted(h, x)[1].sum() for x in (None, g)] == [2, 1]  # equal by the first hash alone is not equal
 
 
 def test_ngram_join(docs, empty):
