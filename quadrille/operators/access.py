@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.setops import listed
+
 OUT, IN = "OUT", "IN"
 
 
@@ -44,10 +46,12 @@ def neighbourhood(triples: DataFrame, vertex) -> DataFrame:
     return neighbours(triples, vertex).unionAll(neighbours(triples, vertex, direction=IN)).distinct()
 
 
-def adjacency(triples: DataFrame, direction: str = OUT) -> DataFrame:
-    """(v, p, d, o_vals): grouped rows, neighbours sorted and distinct.  For the API's edge; keep triples exploded inside plans."""
+def adjacency(triples: DataFrame, direction: str = OUT, block: int = 1 << 16) -> DataFrame:
+    """(v, p, d, block, o_vals): grouped rows, neighbours sorted and distinct, at most `block` of them in a row.  For the API's edge;
+    keep triples exploded inside plans."""
     v, other = _ends(direction)
-    return triples.groupBy(F.col(v).alias("v"), "p").agg(F.array_sort(F.collect_set(other)).alias("o_vals")).withColumn("d", F.lit(direction)).select("v", "p", "d", "o_vals")
+    rows = listed(triples.select(F.col(v).alias("v"), "p", F.col(other).alias("o")), ["v", "p"], "o", "o_vals", block)
+    return rows.select("v", "p", F.lit(direction).alias("d"), "block", "o_vals")
 
 
 def exists(triples: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -64,9 +68,9 @@ def locate(vertices: DataFrame, home: Column, overrides: DataFrame | None = None
     return base.join(overrides.select("v", F.col("server").alias("_at")), "v", "left").select("v", F.coalesce("_at", home).alias("server"))
 
 
-def by_server(located: DataFrame) -> DataFrame:
-    """(server, vs): vertices of each server, sorted."""
-    return located.groupBy("server").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+def by_server(located: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(server, block, vs): vertices of each server, sorted, at most `block` of them in a row."""
+    return listed(located, ["server"], "v", "vs", block)
 
 
 def servers_of_predicate(triples: DataFrame, predicate, home: Column, direction: str = OUT, overrides: DataFrame | None = None) -> DataFrame:

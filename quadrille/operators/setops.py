@@ -34,9 +34,18 @@ def sorted_distinct(a: DataFrame) -> DataFrame:
     return a.distinct().orderBy(*a.columns)
 
 
-def dedup_adjacency(rows: DataFrame) -> DataFrame:
-    """(v, p, d, o_vals): one row for each (v, p, d), neighbours united."""
-    return rows.groupBy("v", "p", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("o_vals")))).alias("o_vals"))
+def listed(rows: DataFrame, keys: list[str], value: str, into: str, block: int = 1 << 16) -> DataFrame:
+    """(keys, block, into): the sorted distinct values of each key as arrays of at most `block` values, so a key that holds most
+    rows fills many rows, not one task.  Rows are range-partitioned and numbered within their partitions; a key's blocks follow each other in
+    the order of their numbers."""
+    rows = rows.select(*keys, value).distinct().repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    numbered = rows.withColumn("block", F.expr(f"monotonically_increasing_id() div {block}"))
+    return numbered.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(value)).alias(into))
+
+
+def dedup_adjacency(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(v, p, d, block, o_vals): neighbours of each (v, p, d) united, in blocks."""
+    return listed(rows.select("v", "p", "d", F.explode("o_vals").alias("o")), ["v", "p", "d"], "o", "o_vals", block)
 
 
 def spo(triples: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ _add("neighbours_out", lambda s, d: access.neighbours(rdfize(s, d, {"containsPar
 _add("neighbours_in", lambda s, d: access.neighbours(rdfize(s, d, {"inNation"}), "nation/3", "inNation", "IN"), "SELECT s AS v FROM triples WHERE o = 'nation/3' AND p = 'inNation'")
 _add("neighbourhood", lambda s, d: access.neighbourhood(rdfize(s, d), "nation/3"), "SELECT o AS v FROM triples WHERE s = 'nation/3' UNION SELECT s FROM triples WHERE o = 'nation/3'")
 _add("exists", lambda s, d: access.exists(rdfize(s, d), s.range(0, 40).select(F.concat(F.lit("nation/"), "id").alias("v"))), "SELECT 'nation/' || i AS v FROM range(40) t(i) WHERE 'nation/' || i IN (SELECT s FROM triples UNION SELECT o FROM triples)")
-_add("adjacency_sizes", lambda s, d: access.adjacency(rdfize(s, d)).select("v", "p", F.size("o_vals").cast("long").alias("n")), "SELECT s AS v, p, count(*) AS n FROM triples GROUP BY 1, 2")
+_add("adjacency_sizes", lambda s, d: access.adjacency(rdfize(s, d)).groupBy("v", "p").agg(F.sum(F.size("o_vals")).alias("n")), "SELECT s AS v, p, count(*) AS n FROM triples GROUP BY 1, 2")
 _add("predicate_stats", lambda s, d: stats.predicate_stats(rdfize(s, d)), "SELECT p, count(*) AS n_triples, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM triples GROUP BY p")
 _add("vertex_stats", lambda s, d: stats.vertex_stats(rdfize(s, d)), "SELECT v, count(*) AS n_edges, count(DISTINCT o) AS n_objects FROM (SELECT s AS v, o FROM triples UNION ALL SELECT o, NULL FROM triples) GROUP BY v")
 _add("set_intersect", lambda s, d: setops.intersect(access.entities(rdfize(s, d, {"did"}), "did"), access.entities(rdfize(s, d, {"placedBy"}), "placedBy", "IN")), "SELECT DISTINCT s AS v FROM triples WHERE p = 'did' AND s IN (SELECT o FROM triples WHERE p = 'placedBy')")
@@ -189,7 +189,7 @@ def _overrides(s, d):
 
 _HOME = "pmod(v, 3L)"
 _add("located", lambda s, d: access.locate(_customers(s, d), F.expr(_HOME), _overrides(s, d)), "SELECT c_custkey AS v, CASE WHEN c_nationkey = 3 THEN 7 ELSE c_custkey % 3 END AS server FROM customer")
-_add("vertices_by_server", lambda s, d: access.by_server(access.locate(_customers(s, d), F.expr(_HOME))).select("server", F.size("vs").cast("long").alias("n"), F.element_at("vs", 1).alias("first")), "SELECT c_custkey % 3 AS server, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
+_add("vertices_by_server", lambda s, d: access.by_server(access.locate(_customers(s, d), F.expr(_HOME))).groupBy("server").agg(F.sum(F.size("vs")).alias("n"), F.min(F.element_at("vs", 1)).alias("first")), "SELECT c_custkey % 3 AS server, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
 _add("moved_places", lambda s, d: placement.move(_overrides(s, d), _customers(s, d).where("c_mktsegment = 'BUILDING'").select("v", F.expr("pmod(v, 2L)").alias("target")), F.expr(_HOME)), "SELECT v, server FROM (SELECT c_custkey AS v, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey % 2 WHEN c_nationkey = 3 THEN 7 ELSE c_custkey % 3 END AS server FROM customer) WHERE server <> v % 3")
 _add("edge_weights", lambda s, d: weights.edge_weights(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("o"))), "SELECT l_partkey AS v1, l_suppkey AS v2, count(*) AS weight FROM lineitem GROUP BY 1, 2")
 _add("windowed_weights", lambda s, d: weights.windowed_weights(s.read.parquet(f"{d}/events.parquet").select("ts", F.col("user_id").alias("s"))).withColumn("start", F.unix_timestamp("start")), "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, user_id AS v, count(*) AS weight FROM events GROUP BY 1, 2")

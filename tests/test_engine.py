@@ -139,6 +139,11 @@ def test_sets(spark):
     assert rows(setops.intersect_many(f(1, 2), f(2, 3), f(2, 2))) == [(2,)]
     a = spark.createDataFrame([(1, 2, "OUT", [3, 4]), (1, 2, "OUT", [4, 5])], "v int, p int, d string, o_vals array<int>")
     assert setops.dedup_adjacency(a).first().o_vals == [3, 4, 5]
+    many = spark.createDataFrame([("h", "p", f"{i:02}") for i in range(9)] * 2 + [("i", "p", "x")], "s string, p string, o string")
+    parts = access.adjacency(many, block=2).orderBy("v", "block").collect()
+    assert max(len(r.o_vals) for r in parts) <= 2 and [x for r in parts for x in r.o_vals] == [f"{i:02}" for i in range(9)] + ["x"]
+    held = access.by_server(many.select(F.col("o").alias("v"), F.lit(1).alias("server")), 4).orderBy("block").collect()
+    assert max(len(r.vs) for r in held) <= 4 and [x for r in held for x in r.vs] == [f"{i:02}" for i in range(9)] + ["x"]
 
 
 def test_doi_and_targets(spark):
