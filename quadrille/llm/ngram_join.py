@@ -342,20 +342,20 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, held in C.by_key(batches, "a"):
-            t = pa.Table.from_batches(held)
+        for t in C.whole_keys(batches, "pair", C.CHUNK_BYTES // 2):  # a cluster in many pairs does not hold them all at once
             v, at = sets_of(t["text"], shingle)
             right = set_hash(v, at).astype(np.int64) == t["node"].to_numpy()  # a doc_id may have other texts too
-            other, left = t["b"].to_numpy(), t["left"].to_numpy()
+            a, b, left = t["a"].to_numpy(), t["b"].to_numpy(), t["left"].to_numpy()
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
             found = []
-            for b in np.unique(other).tolist():
-                i, j = (np.flatnonzero(right & (other == b) & (left == side)).tolist() for side in (True, False))
-                if any(linked(v[at[x] : at[x + 1]], v[at[y] : at[y + 1]], percent) for x in i for y in j):
-                    found.append((a, b))
+            for x, z in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows]):
+                i, j = ((x + np.flatnonzero(right[x:z] & (left[x:z] == side))).tolist() for side in (True, False))
+                if any(linked(v[at[e] : at[e + 1]], v[at[f] : at[f + 1]], percent) for e in i for f in j):
+                    found.append((int(a[x]), int(b[x])))
             if found:
                 yield _batch(found, schema)
 
-    return rows.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(check, "a long, b long")
+    return rows.withColumn("pair", F.xxhash64("a", "b")).repartition(n, "pair").sortWithinPartitions("pair", "a", "b").mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
