@@ -248,6 +248,13 @@ def test_count_filter():
     assert len(lm_score.CountFilter.part(codes, counts, 4096)) <= 4096  # the bound holds
 
 
+def test_count_filter_grows_with_its_keys():
+    rng = np.random.default_rng(6)
+    codes = np.unique(rng.integers(0, 1 << 32, 200_000).astype(np.uint64)) & ~np.uint64(1)
+    part = lm_score.CountFilter.part(codes, np.ones(len(codes), np.int64))  # more than a share of 64 MB in 1024 buckets
+    assert len(part) > (64 << 20) // 1024 and (lm_score.CountFilter([part]).counts(codes) > 0).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from quadrille.llm.common import materialise
