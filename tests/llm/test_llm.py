@@ -255,6 +255,13 @@ def test_count_filter_grows_with_its_keys():
     assert len(part) > (64 << 20) // 1024 and (lm_score.CountFilter([part]).counts(codes) > 0).all()
 
 
+def test_count_filter_reads_large_counts():
+    codes = np.arange(2, 42, 2).astype(np.uint64)
+    counts = np.array([1 << k for k in range(20, 40)])
+    f = lm_score.CountFilter([lm_score.CountFilter.part(codes, counts)])
+    assert (f.counts(codes) >= 1.5 * counts).all() and np.median(f.counts(codes) / counts) == 1.5
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from quadrille.llm.common import materialise
