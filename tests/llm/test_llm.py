@@ -262,6 +262,12 @@ def test_count_filter_reads_large_counts():
     assert (f.counts(codes) >= 1.5 * counts).all() and np.median(f.counts(codes) / counts) == 1.5
 
 
+def test_count_filter_stores_bigrams_seen_once():
+    codes = np.arange(1, 2001, 2).astype(np.uint64)  # odd codes are bigrams
+    f = lm_score.CountFilter([lm_score.CountFilter.part(codes, np.ones(len(codes), np.int64))])
+    assert (f.counts(codes) >= 1).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from quadrille.llm.common import materialise
