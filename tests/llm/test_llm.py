@@ -167,6 +167,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_with_splits(spark):
+    assert embedding_dedup.trees_for(60, 640) == embedding_dedup.trees_for(16_384, 204) == 10 < embedding_dedup.trees_for(16_384, 10) < embedding_dedup.trees_for(16_384, 6)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((2000, 64))
+    y -= (y * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    x[2000:] = 0.905 * x[:2000] + np.sqrt(1 - 0.905**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), leaf=6).toPandas().sort_values("vec_id")
+    links, component = got.n_links.to_numpy(), got.component_id.to_numpy()
+    assert (x @ x.T >= 0.9).sum() == 8000 and links.max() == 1 and links.sum() >= 0.998 * 4000  # ten trees keep 0.994
+    assert (component == np.where(links == 1, np.arange(4000) % 2000, np.arange(4000))).all()
+
+
 def test_quality(spark, docs, empty):
     texts = [(i, " ".join(R.choice(["good", "fine", "well"] if i % 2 else ["bad", "poor", "junk"]) for _ in range(9))) for i in range(200)]
     d = spark.createDataFrame(texts, "doc_id long, text string")
