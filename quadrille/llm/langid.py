@@ -167,6 +167,12 @@ def label_texts(p: dict, column) -> tuple[np.ndarray, np.ndarray]:
     return sums / np.maximum(positions, 1)[:, None], positions
 
 
+def doc_words(text: str) -> list[bytes]:
+    """Up to DOC_WORDS of a text's distinct words (long ones in parts, as they are read), evenly spaced from the first in order to the last."""
+    own = sorted({w[i : i + LONGEST] for w in text.encode().lower().split() for i in range(0, len(w), LONGEST)})
+    return own if len(own) <= DOC_WORDS else [own[i * (len(own) - 1) // (DOC_WORDS - 1)] for i in range(DOC_WORDS)]
+
+
 def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     """docs (doc_id, text, lang): rows to learn from.  The languages, sorted, and the network."""
     taught = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -182,8 +188,7 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
         for b in batches:
             got, of = [], []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                own = sorted({w[:LONGEST] for w in text.encode().lower().split()})
-                own = own[:: max(1, len(own) // DOC_WORDS)][:DOC_WORDS]
+                own = doc_words(text)
                 got += own
                 of += [lang] * len(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "word": pa.array(got, pa.binary())})

@@ -217,6 +217,13 @@ def test_langid_gradients():
         assert (up - down) / (2 * e) == pytest.approx(g[name][i], rel=0.05, abs=1e-4)
 
 
+def test_langid_learns_from_all_of_a_text():
+    words = [f"w{i:03}" for i in range(100)] + ["été"]
+    got = langid.doc_words(" ".join(words))
+    assert len(got) == len(set(got)) == langid.DOC_WORDS and got[0] == b"w000" and got[-1] == "été".encode()
+    assert langid.doc_words("a" * 24 + "b" * 24 + "c") == [b"a" * 24, b"b" * 24, b"c"]
+
+
 def test_langid(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = C.crc_mod(d.doc_id, 3) == 1
