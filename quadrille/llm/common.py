@@ -7,6 +7,11 @@ Every bucket count follows the input's size, so a bucket stays small whatever th
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,14 +32,24 @@ U64 = np.uint64
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below a folder of this session where that is unset (tests)."""
+    """A fresh path below spark.checkpoint.dir; where that is unset, below a folder of this process if all tasks run in it, as in tests.
+    On a cluster an unset folder is an error: executors do not see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/quadrille-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{_own_folder()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder of this process, deleted at its end."""
+    path = tempfile.mkdtemp(prefix="quadrille-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 WRITTEN: list[str] = []  # what materialise has written
 
 
@@ -285,7 +300,8 @@ def chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
-    """Runs of rows with one key, of batches that are sorted by it.  A key never holds more than one bucket's data."""
+    """Runs of rows with one key, of batches that are sorted by it: all rows of a key are held at once, so keys are buckets whose number
+    follows the input, and what is sent to one bucket is summed before."""
     now, held = None, []
     for b in batches:
         if not b.num_rows:
@@ -314,7 +330,10 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def exchange(df: DataFrame, n: int, key: str, *then: str) -> DataFrame:
-    """Rows of a key together, and sorted by it (and by `then`)."""
+    """Rows of a key together, and sorted by it (and by `then`).  A whole number, such as a bucket's, is dealt by its rest modulo n: n
+    buckets fill n partitions, where their hashes would leave a third of these empty and put several buckets in others."""
+    if df.schema[key].dataType.typeName() in ("integer", "long"):
+        return df.repartitionById(n, F.pmod(F.col(key).cast("long"), F.lit(n).cast("long")).cast("int")).sortWithinPartitions(key, *then)
     return df.repartition(n, key).sortWithinPartitions(key, *then)
 
 

@@ -238,11 +238,45 @@ def test_langid(spark, docs, empty):
     assert langid.train(empty.withColumn("lang", F.lit(None).cast("string")))[0] == []
 
 
+def lm_by_definition(rows, a, b):
+    """The model read literally on exact counts, each quantised as the filter does: doc_id and text -> log10 probability."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    tokens = lambda t: ["<", *(t or "").translate(lower).encode().split(), ">"]
+    counts: Counter = Counter()
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            w = tokens(t)
+            for k in (1, 2, 3):
+                counts.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    n = sum(c for k, c in counts.items() if len(k) == 1 and k != ("<",))
+    v = sum(len(k) == 1 and k != ("<",) for k in counts)
+    docs = counts[("<",)]
+
+    def level_mean(*k):
+        c = docs if k in (("<",), (">",)) else counts[k]
+        return c if k in (("<",), (">",)) else 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0
+
+    out = {}
+    for d, t in rows:
+        w, total = tokens(t), 0.0
+        for i in range(1, len(w)):
+            p = (level_mean(w[i]) + 1) / (n + v + 1)
+            h = level_mean(w[i - 1])
+            p = (min(level_mean(*w[i - 1 : i + 1]), h) + a * p) / (h + a)
+            if i > 1:
+                h = level_mean(*w[i - 2 : i])
+                p = (min(level_mean(*w[i - 2 : i + 1]), h) + b * p) / (h + b)
+            total += np.log10(p)
+        out[d, t] = total
+    return out
+
+
 def test_lm(docs, empty):
     from pyspark.sql import functions as F
 
     train = C.crc_mod(F.col("doc_id"), 7) != 2
-    got = by_id(lm_score.score_documents(docs, train))
+    got = by_id(lm_score.score_documents(docs, train, 400, (50.0, 2.0)))  # so many bits that no absent n-gram seems stored
+    want = lm_by_definition(ROWS, 50.0, 2.0)
     tokens = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split() + [None]
     counts: Counter = Counter()
     for d, t in ROWS:
@@ -250,44 +284,70 @@ def test_lm(docs, empty):
             counts.update(tokens(t))
     n, v = sum(counts.values()), len(counts)
     assert len(sum(got.values(), [])) == len(ROWS)
-    for d, t in UNIQUE.items():
+    for d, t in ROWS:
         w = tokens(t)
         base = sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in w)
         for r in got[d]:
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
-            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(want[d, t], rel=1e-9)
+    usual = by_id(lm_score.score_documents(docs, train, strengths=(50.0, 2.0)))
+    for d, t in ROWS:  # with the bits in use: false positives of the filter move few tokens
+        assert all(abs(r.score - want[d, t]) <= 0.02 * r.n_tokens + 2 for r in usual[d])
     assert lm_score.score_documents(empty, train).count() == 0
 
 
+def test_lm_strengths_are_those_of_the_likeliest(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{R.randint(0, 9)}" for _ in range(40))) for i in range(60)]  # words tell nothing of their neighbours
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
+    chunks = lm_score.chunks_of(d)
+    told = lm_score.answers(chunks, 4, 400)
+    assert lm_score.fit_strengths(chunks, told, 4, 60 * 41 + 12, 60)[1] == 25.0
+    same = d.withColumn("text", F.lit("a b c d e f g"))  # and here everything
+    chunks = lm_score.chunks_of(same)
+    assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 8 + 9, 60) == (50.0, 0.5)
+
+
+def test_lm_on_held_out_rows(spark):
+    x = lm_score.op8_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    held = x[x.held_out]
+    assert list(x.columns) == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and len(x) == 1000
+    assert (x.held_out == [zlib.crc32(str(i).encode()) % 7 == 2 for i in x.doc_id]).all()
+    assert held.score.sum() / held.n_tokens.sum() > -3.4 and held.base_score.sum() / held.n_tokens.sum() < -4
+
+
+def test_lm_codes_keep_what_tells_a_buckets_apart():
+    codes = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    for n in (1, 7, 64, 3000):
+        bucket = C.bucket_of(codes, n)
+        for b in set(bucket[:50].tolist()):
+            own = codes[bucket == b]
+            whole = lm_score._get(lm_score._put(own, b, n, 64))
+            assert (whole + np.uint64(lm_score._first_of(b, n)) == own).all()
+            assert len(np.unique(lm_score._get(lm_score._put(own, b, n, 40)))) == len(own)
+    assert len(lm_score._get(lm_score._put(codes[:0], 0, 1, 40))) == 0
+
+
 def test_count_filter():
     rng = np.random.default_rng(4)
     codes = np.unique(rng.integers(0, 1 << 32, 20_000).astype(np.uint64)) & ~np.uint64(1)
     counts = rng.integers(1, 900, len(codes))
-    f = lm_score.CountFilter([lm_score.CountFilter.part(codes, counts, 1 << 20)])
-    level = np.floor(np.log2(counts))
-    assert ((f.counts(codes) >= np.where(level > 0, 1.5 * 2.0**level, 1))).all()  # never below what is stored
-    assert (f.counts(rng.integers(0, 1 << 32, 20_000).astype(np.uint64) | np.uint64(1)) > 0).mean() < 0.05
-    assert len(lm_score.CountFilter.part(codes, counts, 4096)) <= 4096  # the bound holds
+    f = lm_score.CountFilter(codes, counts)
+    assert (f.levels(codes) >= 1 + np.floor(np.log2(counts))).all()  # never below what is stored
+    assert (f.levels(rng.integers(0, 1 << 32, 20_000).astype(np.uint64) | np.uint64(1)) > 0).mean() < 0.05
+    assert f.mean(np.arange(4)).tolist() == [0, 1, 2.5, 5.5]
 
 
-def test_count_filter_grows_with_its_keys():
-    rng = np.random.default_rng(6)
-    codes = np.unique(rng.integers(0, 1 << 32, 200_000).astype(np.uint64)) & ~np.uint64(1)
-    part = lm_score.CountFilter.part(codes, np.ones(len(codes), np.int64))  # more than a share of 64 MB in 1024 buckets
-    assert len(part) > (64 << 20) // 1024 and (lm_score.CountFilter([part]).counts(codes) > 0).all()
-
-
-def test_count_filter_reads_large_counts():
+def test_count_filter_reads_large_and_single_counts():
     codes = np.arange(2, 42, 2).astype(np.uint64)
     counts = np.array([1 << k for k in range(20, 40)])
-    f = lm_score.CountFilter([lm_score.CountFilter.part(codes, counts)])
-    assert (f.counts(codes) >= 1.5 * counts).all() and np.median(f.counts(codes) / counts) == 1.5
-
-
-def test_count_filter_stores_bigrams_seen_once():
-    codes = np.arange(1, 2001, 2).astype(np.uint64)  # odd codes are bigrams
-    f = lm_score.CountFilter([lm_score.CountFilter.part(codes, np.ones(len(codes), np.int64))])
-    assert (f.counts(codes) >= 1).all()
+    got = lm_score.CountFilter(codes, counts)
+    assert (got.levels(codes) >= 21 + np.arange(20)).all() and np.median(got.levels(codes) - np.arange(20)) == 21
+    rng = np.random.default_rng(6)
+    codes = np.unique(rng.integers(0, 1 << 32, 200_000).astype(np.uint64))
+    part = lm_score.CountFilter(codes, np.ones(len(codes), np.int64))
+    assert 8 * len(part.data) >= 10 * len(codes) and (part.levels(codes) > 0).all()
 
 
 def test_pipeline(spark):
