@@ -6,7 +6,7 @@ for each plane, whatever the length.  A file is one binary value (``MAGIC`` form
 Spark's own writers reach, so files are stored through Spark, a row each, uncompressed by Parquet since planes are compressed here.
 
 Defined results: null text is an empty text and holds the end id alone; null doc_id sorts first; repeated doc_ids keep one entry
-for each row, in order of their texts; an empty table gives no files and no rows; other columns are not read.
+for each row, in order of a hash of their texts; an empty table gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as C
@@ -167,8 +167,9 @@ class Wavelet:
         return seq
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end: int, name: str = "wavelet") -> DataFrame:
-    """Encode documents (doc_id, text) and store them as files: one row (shard, part, n_ids, file) each, read back from storage."""
+def write_shards(docs: DataFrame, tokenizer: str, end: int, name: str = "wavelet", most: int = SHARD_IDS) -> DataFrame:
+    """Encode documents (doc_id, text) and store them as files: one row (shard, part, n_ids, file) each, read back from storage.
+    A file is closed by the document that brings it to `most` ids."""
     C.small_batches(docs.sparkSession)
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())])
 
@@ -190,39 +191,55 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int, name: str = "wavelet
 
         for b in batches:
             ids, at = enc.encode(b.column("text"), end)
-            held.append(ids)
-            names += b.column("doc_id").to_pylist()
-            sizes.append(np.diff(at))
-            if sum(map(len, held)) >= SHARD_IDS:
-                yield flush()
+            docs, first = b.column("doc_id").to_pylist(), 0
+            have = sum(map(len, held))
+            while first < len(docs):
+                last = min(len(docs), int(np.searchsorted(at, at[first] + most - have)))  # up to the document that fills the file
+                held.append(ids[at[first] : at[last]])
+                names += docs[first:last]
+                sizes.append(np.diff(at[first : last + 1]))
+                have += int(at[last] - at[first])
+                first = last
+                if have >= most:
+                    yield flush()
+                    have = 0
         if names:
             yield flush()
 
     n = C.buckets_for(docs, 12 << 20)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # A doc_id that many rows share, null too, spans shards: ranges also follow a hash of the text, and equal rows their numbers.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return C.materialise(ordered.mapInArrow(shards, "shard int, part int, n_ids long, file binary"), name, "uncompressed")
 
 
+def starts_of(files: DataFrame, block: int = 1024) -> DataFrame:
+    """(shard, part, before): ids of all files before each.  Prefix sums within blocks of `block` shards, then over the blocks: of
+    at most 2**20 shards there are at most 1024 blocks, so no task or driver sees a row for each file."""
+    own = files.select("shard", "part", "n_ids", F.expr(f"shard div {block}").alias("block"))
+    within = F.sum("n_ids").over(Window.partitionBy("block").orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))
+    total = own.groupBy("block").agg(F.sum("n_ids").alias("n"))
+    before = total.select("block", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("first"))  # a row for each block
+    return own.withColumn("here", within).join(before, "block").select("shard", "part", (F.coalesce("here", F.lit(0)) + F.coalesce("first", F.lit(0))).alias("before"))
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """From the files: each document with the number of ids before it, its length and the checksum of its ids."""
-    counts = sorted((r.shard, r.part, r.n_ids) for r in files.select("shard", "part", "n_ids").collect())  # a row for each file
-    rows, before = [], 0
-    for shard, part, n in counts:
-        rows.append((shard, part, before))
-        before += n
-    starts = files.sparkSession.createDataFrame(rows, "shard int, part int, before long")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for before, data in zip(b.column("before").to_pylist(), b.column("file")):
+            for shard, part, data in zip(b.column("shard").to_pylist(), b.column("part").to_pylist(), b.column("file")):
                 w = Wavelet(data.as_py())
                 ids = w.decode().astype("<u4")
                 at = np.concatenate([[0], np.cumsum(w.lengths)])
                 crcs = [C.crc(ids[a:z]) for a, z in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": w.doc_ids, "start": before + at[:-1], "n_tokens": w.lengths, "ids_crc32": crcs}, schema)
+                same = lambda x: np.full(len(crcs), x, np.int32)
+                yield pa.RecordBatch.from_pydict({"shard": same(shard), "part": same(part), "doc_id": w.doc_ids, "at": at[:-1], "n_tokens": w.lengths, "ids_crc32": crcs}, schema)
 
-    return files.join(starts, ["shard", "part"]).select("before", "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = files.select("shard", "part", "file").mapInArrow(read, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(starts_of(files), ["shard", "part"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_wavelet(spark, sf_dir: str) -> DataFrame:

@@ -48,14 +48,20 @@ def word_ids(text, end):
 
 
 def test_wavelet(docs, empty):
-    files = wavelet.write_shards(docs, P.path("word_bpe_49k.json"), 1)
-    got = sorted(wavelet.read_documents(files).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got][:1] == [None] and [r.doc_id for r in got][1:] == sorted(d for d, _ in ROWS if d)
-    at = 0
-    for r in got:
-        ids = word_ids(UNIQUE.get(r.doc_id, "null id text here now"), 1)
-        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    for most in (wavelet.SHARD_IDS, 40):  # the small bound parts a shard into several files
+        files = wavelet.write_shards(docs, P.path("word_bpe_49k.json"), 1, most=most)
+        assert (files.where("part > 0").count() > 0) == (most == 40)
+        for block in (1024, 1):
+            starts = sorted((r.shard, r.part, r.before) for r in wavelet.starts_of(files, block).collect())
+            sizes = {(r.shard, r.part): r.n_ids for r in files.collect()}
+            assert [x[:2] for x in starts] == sorted(sizes) and [x[2] for x in starts] == [sum(n for k, n in sizes.items() if k < (a, b)) for a, b, _ in starts]
+        got = sorted(wavelet.read_documents(files).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got][:1] == [None] and [r.doc_id for r in got][1:] == sorted(d for d, _ in ROWS if d)
+        at = 0
+        for r in got:
+            ids = word_ids(UNIQUE.get(r.doc_id, "null id text here now"), 1)
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)
     assert wavelet.read_documents(wavelet.write_shards(empty, P.path("word_bpe_49k.json"), 1)).count() == 0
 
 
