@@ -173,19 +173,46 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_embeddings_with_splits(spark):
-    assert embedding_dedup.trees_for(60, 640) == embedding_dedup.trees_for(16_384, 204) == 10 < embedding_dedup.trees_for(16_384, 10) < embedding_dedup.trees_for(16_384, 6)
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((4000, 64))
+def planted_pairs(rng, n, pairs, wide=64, cosine=0.905):
+    """n unit vectors, the last `pairs` of them at that cosine to the first."""
+    x = rng.standard_normal((n, wide))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal((2000, 64))
-    y -= (y * x[:2000]).sum(1, keepdims=True) * x[:2000]
-    x[2000:] = 0.905 * x[:2000] + np.sqrt(1 - 0.905**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), leaf=6).toPandas().sort_values("vec_id")
-    links, component = got.n_links.to_numpy(), got.component_id.to_numpy()
-    assert (x @ x.T >= 0.9).sum() == 8000 and links.max() == 1 and links.sum() >= 0.998 * 4000  # ten trees keep 0.994
-    assert (component == np.where(links == 1, np.arange(4000) % 2000, np.arange(4000))).all()
+    y = rng.standard_normal((pairs, wide))
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[n - pairs :] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    return x
+
+
+def test_embeddings_with_splits(spark):
+    assert embedding_dedup.trees_for(60, 640) == 10 <= embedding_dedup.trees_for(50_000, 256) < embedding_dedup.trees_for(1_000_000, 256)
+    x = planted_pairs(np.random.default_rng(8), 2400, 1200)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    assert (x @ x.T >= 0.9).sum() == 4800
+    for more in ({}, {"sample": 100}):  # the small sample makes leaves that are split again
+        got = embedding_dedup.near_vectors(rows, leaf=8, **more).toPandas().sort_values("vec_id")
+        links, component = got.n_links.to_numpy(), got.component_id.to_numpy()
+        assert links.max() == 1 and links.sum() >= 0.997 * 2400
+        assert (component == np.where(links == 1, np.arange(2400) % 1200, np.arange(2400))).all()
+
+
+def test_embeddings_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 32))
+    x[:900] = x[0] + 0.3 * rng.standard_normal((900, 32))  # different vectors, most pairs of which link
+    x[900:1000] = x[:100]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    near = u @ u.T >= 0.9
+    assert near[:900, :900].mean() > 0.6
+    for wide in (100, 10_000):  # in pairs of groups, and in one task
+        got = embedding_dedup.near_vectors(rows, leaf=32, sample=700, wide=wide).toPandas().sort_values("vec_id")
+        assert (got.n_links <= near.sum(1) - 1).all() and got.n_links.sum() >= 0.99 * (near.sum() - 1500)
+
+
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
 
 
 def test_quality(spark, docs, empty):
