@@ -189,7 +189,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "dedup", m
 
     sent = keyed.select("doc_id", "text", "th").mapInArrow(hashed, _SENT_SQL)
     back = C.exchange(sent, n, "bucket").mapInArrow(counted, _SENT_SQL)
-    part = F.pmod(F.col("th").bitwiseXOR(F.coalesce("doc_id", F.lit(_NONE))), F.lit(n)).cast("int")
+    part = F.pmod(F.col("th").bitwiseXOR(F.coalesce("doc_id", F.lit(_NONE))), F.lit(n))
+    # Texts too short for a window lose nothing, so they go anywhere: null or empty ones may be a third of all rows.
+    part = F.when(F.length(F.coalesce("text", F.lit(""))) < 2 * window - 1, F.pmod(F.monotonically_increasing_id(), F.lit(n))).otherwise(part).cast("int")
     rest_type = keyed.schema["rest"].dataType
     none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("th"), F.lit(None).cast(rest_type).alias("rest")]
     both = back.select(F.col("to").alias("part"), F.lit(0).alias("kind"), "data", *none).unionAll(keyed.select(part, F.lit(1), F.lit(None).cast("binary"), "doc_id", "text", "th", "rest"))
