@@ -63,6 +63,14 @@ def release(docs: DataFrame, paths: list[str]) -> None:
             paths.remove(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all that materialise has written in this process: for callers that have taken or stored their results."""
+    for path in WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    WRITTEN.clear()
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

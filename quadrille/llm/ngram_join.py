@@ -34,7 +34,8 @@ ORDERS = 3
 COMMON = 16  # documents from which a shingle counts as frequent
 FREQUENT = 1 << 20  # how many frequent shingles are told apart by frequency: bounds the broadcast to 12 MB
 SALTED = 256  # texts that share a least shingle and stay together
-STARS = 4
+STARS = 4  # rounds of star pairs
+FEW = 100_000  # wanted texts that are broadcast by number: 3 MB
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 _LOW48 = U64((1 << 48) - 1)
 _SENT = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
@@ -188,7 +189,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85, stars: int = STARS, salted: int = SALTED) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, node, leader) of all documents, and candidate leader pairs (a, b) by the low 48 bits of their
     nodes; clusters of one leader are linked already."""
     spark = docs.sparkSession
@@ -210,7 +211,7 @@ def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[Da
                 key[full] = np.minimum.reduceat(h, at[full])
                 owner = np.repeat(np.arange(t.num_rows), np.diff(at))
                 lowest = np.flatnonzero(h == key[owner])
-                salts[owner[lowest]] = 1 + frequency(v[lowest], n, codes, counts) // SALTED
+                salts[owner[lowest]] = 1 + frequency(v[lowest], n, codes, counts) // salted
             empty = np.diff(at) == 0
             mixed = C.mix(np.arange(t.num_rows, dtype=U64) + U64(len(v)))
             key = np.where(empty, mixed, C.mix(key) + mixed % salts.astype(U64))
@@ -234,7 +235,7 @@ def join_nodes(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[Da
             freq = frequency(v, n, codes, counts)
             rare = np.bincount(np.repeat(np.arange(len(rep)), k), weights=freq == 0, minlength=len(rep))
             full = full[np.argsort(rare[full], kind="stable")]  # centres of stars: those with the fewest shingles of their own
-            for j in range(STARS):
+            for j in range(stars):
                 low = least(v, new_at, _SEEDS[j])[full]
                 by = np.argsort(low, kind="stable")
                 first, many = C.runs_of(low[by])
@@ -330,14 +331,14 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, bit: int, n: int) -> Iterator[pa.Re
     yield _batch([(i, C.pack_arrays(a[x:y], b[x:y], np.full(y - x, bit, np.uint8))) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if x < y], _SENT)
 
 
-def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, percent: int, few: int = FEW) -> DataFrame:
     """Of pairs (a, b) of clusters those with a linked pair of members (cluster, node, doc_id: one document for each node)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sides = pairs.select("a", "b", F.col("a").alias("cluster")).unionAll(pairs.select("a", "b", F.col("b").alias("cluster")))
     wanted = C.materialise(members.join(sides.select("cluster").distinct(), "cluster", "left_semi"), "ngram-wanted")
-    few = wanted.count() <= 100_000  # then 3 MB: spares a shuffle of all texts
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("cluster", "node", "text")
+    small = wanted.count() <= few  # spares a shuffle of all texts
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id").select("cluster", "node", "text")
     rows = sides.join(texts, "cluster").select("a", "b", F.col("cluster") == F.col("a"), "node", "text").toDF("a", "b", "left", "node", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -358,9 +359,10 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int
     return rows.withColumn("pair", F.xxhash64("a", "b")).repartition(n, "pair").sortWithinPartitions("pair", "a", "b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """Rows of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
-    nodes, candidates = join_nodes(docs, shingle, percent)
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85, stars: int = STARS, salted: int = SALTED, few: int = FEW) -> DataFrame:
+    """Rows of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach).  stars, salted and few change how
+    links are found, never which: without stars all come from the filters of the orders."""
+    nodes, candidates = join_nodes(docs, shingle, percent, stars, salted)
     full = nodes.where("n_shingles > 0 and doc_id is not null")
     # A node may have been placed with several leaders (salts); they are one component from the start.
     same = full.groupBy("node").agg(F.min("leader").alias("x"), F.max("leader").alias("y"))
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     links = several
     if not pairs.isEmpty():
         heads_only = members.where("cluster = node")
-        first = C.materialise(verified(pairs, heads_only, docs, shingle, percent), "ngram-links")
+        first = C.materialise(verified(pairs, heads_only, docs, shingle, percent, few), "ngram-links")
         links = links.unionAll(first)
         comp = components(links, "ngram-components")
         label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
@@ -383,7 +385,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
         rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
         rest = C.materialise(rest, "ngram-rest")
         if not rest.isEmpty():
-            links = links.unionAll(C.materialise(verified(rest, members, docs, shingle, percent), "ngram-links"))
+            links = links.unionAll(C.materialise(verified(rest, members, docs, shingle, percent, few), "ngram-links"))
     # Rows of one doc_id are one document.
     twice = full.groupBy("doc_id").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x <> y").select("doc_id", "x")
     links = links.unionAll(full.join(twice, "doc_id").select(F.col("leader").alias("a"), F.col("x").alias("b")).distinct())

@@ -87,7 +87,9 @@ def test_exact_dedup(docs, empty):
             best = min(own, key=lambda x: (-len(x[1]), x[0] if x[0] is not None else 1 << 63))
             assert (r.keep_id, r.group_size) == (best[0], len(own))
             assert r.text_sha256 == hashlib.sha256(norm(own[0][1])).hexdigest()
-    assert exact_dedup.classes(empty).count() == 0
+        stay = sorted((r.doc_id is None, r.doc_id or 0) for r in exact_dedup.survivors(docs, heavy).collect())
+        assert stay == sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.kept)
+    assert exact_dedup.classes(empty).count() == exact_dedup.survivors(empty).count() == 0
 
 
 def test_byte_bpe(docs, empty, monkeypatch):
@@ -134,6 +136,18 @@ def test_ngram_join(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_however_links_are_found(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    base = " ".join(f"w{i}" for i in range(300)).split()
+    for k in range(60):  # a family that shares its least shingle, of which only neighbours link
+        texts[10_000 + k] = " ".join(base[2 * k : 2 * k + 40] + ["w0 w1 w2 w3 w4"])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = ngram_join.components_by_definition(texts)
+    for how in ({}, {"stars": 0}, {"salted": 1, "few": 0}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(d, **how).collect()} == want
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, P.path("word_bpe_49k.json"), 2).collect()
     seqs: dict = {}
