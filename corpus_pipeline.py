@@ -35,7 +35,8 @@ def _stage(f):
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts that read as one of the languages of `lang`, as learned from all of docs."""
+    """Keeps texts that read as one of the languages of `lang`, as learned from all of docs.  Null texts, empty ones and those without a
+    letter go, and all go where there is no language to learn; repeated rows are read each."""
     common.small_batches(spark)
     found = common.free_name(docs, "langid")
     out = langid.identify(docs, *langid.train(docs.select("doc_id", "text", "lang")), into=found)
@@ -44,18 +45,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of equal texts: the longest original, then the smallest doc_id; of several rows of that doc_id one, the longest."""
-    keep = exact_dedup.classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("text_sha256").alias("_sha"))
-    norm = F.translate(F.coalesce("text", F.lit("")), common.SPACES.decode(), "")
-    longest = F.struct(F.length("row.text").alias("n"), F.xxhash64("row.text").alias("h"))
-    keyed = docs.select(F.struct(*common.own(docs)).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.sha2(norm.cast("binary"), 256).alias("_sha"))
-    one = keyed.join(keep, ["_id", "_null", "_sha"], "left_semi").groupBy("_id", "_null", "_sha").agg(F.max_by("row", longest).alias("row"))
-    return one.select("row.*")
+    """Keeps one row of equal texts: the longest original, then the smallest doc_id; of several rows of that doc_id and text one.  A null
+    text is empty, a null doc_id larger than all others; an empty table stays empty."""
+    keep = exact_dedup.survivors(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "_h", "_g")
+    key = ["_id", "_null", "_h", "_g"]
+    rows = docs.select(F.struct(*common.own(docs)).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), *exact_dedup.text_key())
+    stay = rows.join(keep, key, "left_semi")
+    # Rows of one doc_id and equal text are alike to here; the semi-join has dealt them by the same key.
+    return stay.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of texts whose 5-word shingles are at least 80 % alike."""
+    """Keeps the smallest doc_id of each component of texts whose 5-word shingles are at least 80 % alike.  Rows without doc_id or without a
+    word stay, as do all rows of a doc_id that stays; an empty table stays empty."""
     found = ngram_join.near_duplicates(docs, shingle=5, percent=80)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*common.own(docs))
@@ -63,7 +66,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words in 20-word windows that occurred earlier; n_chars follows the text."""
+    """Removes words in 20-word windows that occurred earlier; n_chars follows the text.  Null texts stay null; rows of one doc_id and text
+    are one document; a null doc_id comes last; an empty table stays empty."""
     found = common.free_name(docs, "dedup")
     out = substring_dedup.remove_repeats(docs, into=found)
     changed, kept = F.col(f"{found}.n_removed") > 0, F.col(f"{found}.kept")
@@ -75,7 +79,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of at most 4096 ids."""
+    """Windows of at most 4096 ids: null text is the end id alone, null doc_ids stay null, repeated rows are packed each, an empty table
+    gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
