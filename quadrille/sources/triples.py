@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
+import tempfile
 import uuid
 from functools import reduce
 
@@ -90,11 +95,23 @@ def insert(triples: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir (a folder of this machine where that is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quadrille-shared"
+    """A new path below spark.checkpoint.dir; where that is unset, below a folder of this process if all tasks run in it, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{_own_folder()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder of this process, deleted at its end."""
+    path = tempfile.mkdtemp(prefix="quadrille-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     path = fresh_path(df.sparkSession, name)
