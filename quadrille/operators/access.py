@@ -54,6 +54,13 @@ def adjacency(triples: DataFrame, direction: str = OUT, block: int = 1 << 16) ->
     return rows.select("v", "p", F.lit(direction).alias("d"), "block", "o_vals")
 
 
+def star_reply(triples: DataFrame, sources: DataFrame, predicates: list, block: int = 1 << 16) -> DataFrame:
+    """(s, block, edges): for each of sources(v) its star as one nested value, [(p, [neighbours])]; a source of many neighbours has several rows."""
+    rows = triples.where(F.col("p").isin(*predicates)).join(sources.select(F.col("v").alias("s")), "s", "left_semi")
+    lists = listed(rows, ["s", "p"], "o", "o_vals", block)
+    return lists.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("p", "o_vals"))).alias("edges"))
+
+
 def exists(triples: DataFrame, vertices: DataFrame) -> DataFrame:
     """vertices(v) that occur as a subject or an object."""
     known = triples.select(F.col("s").alias("v")).unionAll(triples.select(F.col("o").alias("v")))

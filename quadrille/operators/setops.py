@@ -56,6 +56,22 @@ def ops(triples: DataFrame) -> DataFrame:
     return triples.orderBy("o", "p", "s")
 
 
+def spd(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("s", "p", "d")
+
+
+def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """The table with these rows put in the place of those with the same keys."""
+    return table.join(rows, list(keys), "left_anti").select(*table.columns).unionAll(rows.select(*table.columns))
+
+
+def add_scored(members: DataFrame, rows: DataFrame, keep: bool = False) -> DataFrame:
+    """An ordered set (v, score) with rows(v, score) added: of a member that stands there the higher score stays, or (keep) its own."""
+    if keep:
+        rows = rows.join(members, "v", "left_anti")
+    return members.unionByName(rows).groupBy("v").agg(F.max("score").alias("score"))
+
+
 def batch(queue: DataFrame, n: int = 1000) -> DataFrame:
     """The oldest n entries of a queue (seq, ...)."""
     return queue.orderBy("seq").limit(n)

@@ -82,10 +82,58 @@ def bank(kind: str, full_names: bool = False) -> list[Query]:
     return out + [Query() for _ in range(SLOTS[kind] - len(out))]
 
 
+def _rows() -> list[tuple]:
+    return [(k, i, " ".join(f"?{v}" for v in x.head), len(x.body)) for k in SLOTS for i, x in enumerate(bank(k)) if x.body]
+
+
 def as_rows(spark) -> DataFrame:
     """(bank, number, head, patterns): the filled slots of all banks."""
-    rows = [(k, i, " ".join(f"?{v}" for v in x.head), len(x.body)) for k in SLOTS for i, x in enumerate(bank(k)) if x.body]
-    return spark.createDataFrame(rows, "bank string, number int, head string, patterns int")
+    return spark.createDataFrame(_rows(), "bank string, number int, head string, patterns int")
+
+
+def rows_sql() -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}::INTEGER, '{h}', {n}::INTEGER)" for k, i, h, n in _rows()) + ") t(bank, number, head, patterns)"
+
+
+class Bank:
+    """A bank whose queries can be changed."""
+
+    def __init__(self, kind: str, full_names: bool = False):
+        self.queries = bank(kind, full_names)
+
+    def __len__(self) -> int:
+        return len(self.queries)
+
+    def get(self, i: int) -> Query:
+        if not 0 <= i < len(self.queries):
+            raise IndexError(f"no query {i} in a bank of {len(self.queries)}")
+        return self.queries[i]
+
+    def add(self, query: Query) -> int:
+        query.check()
+        self.queries.append(query)
+        return len(self.queries) - 1
+
+    def update(self, i: int, query: Query) -> None:
+        self.get(i)
+        query.check()
+        self.queries[i] = query
+
+    def set_body(self, i: int, body: list[Pattern]) -> None:
+        self.update(i, Query(list(self.get(i).head), list(body)))
+
+    def add_heads(self, i: int, *variables: str) -> None:
+        new = self.get(i).copy()
+        for v in variables:
+            new.add_to_head(v)
+        self.update(i, new)
+
+    def delete(self, i: int) -> Query:
+        self.get(i)
+        return self.queries.pop(i)
+
+    def clear(self) -> None:
+        self.queries.clear()
 
 
 # ---------------------------------------------------------------- workloads

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -127,6 +128,24 @@ class Query:
         return cls(list(d["head"]), [Pattern.of(*p) for p in d["body"]])
 
 
+@dataclass
+class Request:
+    """A query with what its client goes by; JSON takes the place of a wire format."""
+
+    query: Query
+    number: int = 0
+    client: str = ""
+    sent: float = 0.0
+
+    def to_json(self) -> str:
+        return json.dumps({"query": self.query.to_dict(), "number": self.number, "client": self.client, "sent": self.sent})
+
+    @classmethod
+    def from_json(cls, text: str) -> Request:
+        d = json.loads(text)
+        return cls(Query.from_dict(d["query"]), d["number"], d["client"], d["sent"])
+
+
 _TOKEN = re.compile(r'\{[^{}]*\}|"(?:[^"\\]|\\.)*"\S*|<[^>]*>|[^\s{}]+')
 
 

@@ -8,12 +8,16 @@ constant predicate prunes partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.plans.model import Const, Pattern, Query, Var
+from quadrille.sources.triples import stored
+
+Source = DataFrame | Callable[[Pattern], DataFrame]
 
 
 def match(triples: DataFrame, pattern: Pattern) -> DataFrame:
@@ -58,17 +62,32 @@ def order(body: list[Pattern], stats: dict | None = None, given: set[str] = froz
     return out
 
 
-def solve(triples: DataFrame, query: Query, stats: dict | None = None, distinct: bool = False, given: DataFrame | None = None) -> DataFrame:
-    """All solutions projected on the head, as a bag (or a set).  An empty body has one empty solution.  given: bindings of some
+def _scan(triples: Source, pattern: Pattern) -> DataFrame:
+    return triples(pattern) if callable(triples) else triples
+
+
+def candidates(triples: Source, pattern: Pattern, variable: str) -> DataFrame:
+    """Distinct values of a variable that one pattern allows."""
+    return match(_scan(triples, pattern), pattern).select(variable).distinct()
+
+
+def star(triples: Source, patterns: list[Pattern], variable: str, stats: dict | None = None) -> DataFrame:
+    """Values of a variable that all these patterns allow: the smallest estimated candidate set first, the others by semi-join."""
+    ranked = sorted(patterns, key=lambda p: weight(p, stats))
+    return reduce(lambda x, p: x.join(match(_scan(triples, p), p).select(variable), variable, "left_semi"), ranked[1:], candidates(triples, ranked[0], variable))
+
+
+def solve(triples: Source, query: Query, stats: dict | None = None, distinct: bool = False, given: DataFrame | None = None) -> DataFrame:
+    """All solutions projected on the head, as a bag (or a set).  triples: a frame, or a function from a pattern to the frame to scan for
+    it, which lets a view or a store prune.  An empty body has one empty solution.  given: bindings of some
     variables, a row for each; solutions are those that agree with one."""
     query.check()
-    spark = triples.sparkSession
     plan = order(query.body, stats, set(given.columns) if given is not None else set())
     if not plan:
-        return spark.range(1).select()
+        return SparkSession.active().range(1).select()
     needed, out = set(query.head), given
     for i, p in enumerate(plan):
-        one = match(triples, p)
+        one = match(_scan(triples, p), p)
         if out is None:
             out = one
             continue
@@ -85,11 +104,11 @@ def solve(triples: DataFrame, query: Query, stats: dict | None = None, distinct:
     return out.distinct() if distinct else out
 
 
-def reduce_semi(triples: DataFrame, query: Query) -> list[DataFrame]:
+def reduce_semi(triples: Source, query: Query) -> list[DataFrame]:
     """For each pattern the bindings that survive semi-joins along a tree of the body: children prune their parents from the leaves
     up, then parents prune their children from the root down.  2 (n - 1) semi-joins; exact on acyclic bodies, elsewhere a
     sound pre-filter."""
-    plan, parent, seen = [match(triples, p) for p in query.body], {}, []
+    plan, parent, seen = [match(_scan(triples, p), p) for p in query.body], {}, []
     for p in order(query.body):
         i = next(k for k, x in enumerate(query.body) if x is p)
         shared = {k: [v for v in p.variables if v in query.body[k].variables] for k in seen}
@@ -108,16 +127,20 @@ def reduce_semi(triples: DataFrame, query: Query) -> list[DataFrame]:
     return plan
 
 
-def bindings(triples: DataFrame, query: Query) -> dict[str, DataFrame]:
+def _whole(triples: Source, query: Query, stats: dict | None) -> DataFrame:
+    """All solutions with all variables, stored: the parts of a factorised result are read from them."""
+    return stored(solve(triples, Query(query.variables, query.body), stats), "solutions")
+
+
+def bindings(triples: Source, query: Query, stats: dict | None = None) -> dict[str, DataFrame]:
     """Factorised result: the values of each variable that occur in some solution."""
-    full = solve(triples, Query(query.variables, query.body))
+    full = _whole(triples, query, stats)
     return {v: full.select(v).distinct() for v in query.variables}
 
 
-def edges(triples: DataFrame, query: Query) -> list[DataFrame]:
+def edges(triples: Source, query: Query, stats: dict | None = None) -> list[DataFrame]:
     """Factorised result: for each pattern its triples that take part in some solution."""
-    full = solve(triples, Query(query.variables, query.body))
-    out = []
+    full, out = _whole(triples, query, stats), []
     for p in query.body:
         part = full.select(*p.variables).distinct() if p.variables else None
         cols = [F.col(x.name).alias(c) if isinstance(x, Var) else F.lit(x.terms[0]).alias(c) if len(x.terms) == 1 else None for c, x in p.positions]
@@ -125,17 +148,18 @@ def edges(triples: DataFrame, query: Query) -> list[DataFrame]:
             out.append(part.select(*cols))
         else:
             named = [F.col(c).alias(x.name) for c, x in p.positions if isinstance(x, Var)]
-            rows = reduce(lambda d, cx: d.where(F.col(cx[0]).isin(*cx[1].terms)) if isinstance(cx[1], Const) else d, p.positions, triples)
+            rows = reduce(lambda d, cx: d.where(F.col(cx[0]).isin(*cx[1].terms)) if isinstance(cx[1], Const) else d, p.positions, _scan(triples, p))
             rows = rows.select("s", "p", "o", *named)
             out.append((rows.join(part, list(p.variables), "left_semi") if part is not None else rows).select("s", "p", "o"))
     return out
 
 
-def to_sql(query: Query, source: str = "triples") -> str:
-    """The same query as ANSI SQL over a relation of triples: one alias for each pattern."""
+def to_sql(query: Query, source: str | Callable[[Pattern], str] = "triples", stats: dict | None = None) -> str:
+    """The same query as ANSI SQL: one relation for each pattern, joined on shared variables in the planned order.  source: the name of
+    a relation of triples, or a function from a pattern to a query of the triples that it can match."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    parts, where, at = [], [], {}
-    for i, p in enumerate(query.body):
+    parts, at, out = [], {}, ""
+    for i, p in enumerate(order(query.body, stats)):
         cols, cond, own = [], [], {}
         for c, x in p.positions:
             if isinstance(x, Const):
@@ -145,11 +169,11 @@ def to_sql(query: Query, source: str = "triples") -> str:
             else:
                 own[x.name] = c
                 cols.append(f'{c} AS "{x.name}"')
-        parts.append(f"(SELECT {'DISTINCT ' * p.disjunctive}{', '.join(cols) or '1'} FROM {source}{' WHERE ' + ' AND '.join(cond) if cond else ''}) t{i}")
+        rows = source if isinstance(source, str) else f"({source(p)}) AS triples"
+        parts.append(f"t{i} AS (SELECT {'DISTINCT ' * p.disjunctive}{', '.join(cols) or '1 AS one'} FROM {rows}{' WHERE ' + ' AND '.join(cond) if cond else ''})")
+        on = [f'{at[v]} = t{i}."{v}"' for v in p.variables if v in at]
+        out += f"t{i}" if not i else f" JOIN t{i} ON {' AND '.join(on)}" if on else f" CROSS JOIN t{i}"
         for v in p.variables:
-            if v in at:
-                where.append(f'{at[v]} = t{i}."{v}"')
-            else:
-                at[v] = f't{i}."{v}"'
+            at.setdefault(v, f't{i}."{v}"')
     heads = ", ".join(f'{at[v]} AS "{v}"' for v in query.head)
-    return f"SELECT {heads} FROM {', '.join(parts)}" + (" WHERE " + " AND ".join(where) if where else "")
+    return f"WITH {', '.join(parts)} SELECT {heads} FROM {out}"

@@ -8,11 +8,16 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.hashing import jump_hash
+from quadrille.plans.model import Const, Pattern
+
 TYPE = "rdf:type"
 TYPE_ID = 1  # reserved; 0 stands for unknown
 
@@ -31,32 +36,80 @@ VIEW = [
 REPEATED = {"containsPart", "suppliedBy", "did"}
 
 
-def rdfize(spark: SparkSession, sf_dir: str, predicates: set[str] | None = None) -> DataFrame:
+def _keys(terms, prefix: str) -> list[int]:
+    """Numbers of the terms that are this prefix and a number."""
+    rest = [t[len(prefix) :] for t in terms if t.startswith(prefix)]
+    return [int(x) for x in rest if x.isdigit() and str(int(x)) == x]
+
+
+def rdfize(spark: SparkSession, sf_dir: str, predicates: set[str] | None = None, subjects: Iterable[str] | None = None, objects: Iterable[str] | None = None) -> DataFrame:
     """triples(s, p, o) of the relational tables, as a set.  Each predicate is its own branch with a constant p, so a query on one
-    predicate reads one table and two columns; only branches whose rows repeat are made distinct.  With `predicates` given, other
-    branches are not planned and tables that hold none of them are not opened."""
+    predicate reads one table and two columns; only branches whose rows repeat are made distinct.  With predicates, subjects or objects
+    given, other triples are left out: branches that hold none are not planned, tables without a branch are not opened, and the
+    rest become filters on key columns, which reach the Parquet scan."""
     parts = []
     for table, prefix, key, facts in VIEW:
         facts = [x for x in facts if predicates is None or x[0] in predicates]
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet") if facts else None
+        own = None if subjects is None else _keys(subjects, prefix)
+        if not facts or own == []:
+            continue
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        rows = rows if own is None else rows.where(F.col(key).isin(*own))
         subject = F.concat(F.lit(prefix), F.col(key).cast("string")).alias("s")
         for p, to, column in facts:
             constant = column.startswith("'")
             o = F.lit(column[1:-1]) if constant else F.concat(F.lit(to), F.col(column).cast("string")) if to else F.col(column)
-            pairs = rows.select(key, column).distinct() if p in REPEATED else rows
             known = F.col(key).isNotNull() if constant else F.col(key).isNotNull() & F.col(column).isNotNull()
-            parts.append(pairs.where(known).select(subject, F.lit(p).alias("p"), o.alias("o")))
+            if objects is not None:
+                wanted = [x for x in objects if x == column[1:-1]] if constant else _keys(objects, to) if to else list(objects)
+                if not wanted:
+                    continue
+                known = known if constant else known & F.col(column).isin(*wanted)
+            pairs = rows.where(known).select(key, column).distinct() if p in REPEATED else rows.where(known)
+            parts.append(pairs.select(subject, F.lit(p).alias("p"), o.alias("o")))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "s string, p string, o string")
 
 
-def rdfize_sql() -> str:
-    """The same view in SQL, for a WITH clause."""
+def scans(spark: SparkSession, sf_dir: str) -> Callable[[Pattern], DataFrame]:
+    """For the planner: the triples of the tables that one pattern can match."""
+    terms = lambda x: x.terms if isinstance(x, Const) else None
+    return lambda p: rdfize(spark, sf_dir, set(p.p.terms) if isinstance(p.p, Const) else None, terms(p.s), terms(p.o))
+
+
+def rdfize_sql(predicates: Iterable[str] | None = None) -> str:
+    """The same view in SQL, for a WITH clause or a FROM clause; with predicates given, these alone."""
     rows = []
     for table, prefix, key, facts in VIEW:
         for p, to, column in facts:
-            o = f"'{to}' || {column}" if to else column
-            rows.append(f"SELECT '{prefix}' || {key} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE {key} IS NOT NULL" + ("" if column.startswith("'") else f" AND {column} IS NOT NULL"))
-    return " UNION ".join(rows)
+            if predicates is None or p in predicates:
+                o = f"'{to}' || {column}" if to else column
+                rows.append(f"SELECT '{prefix}' || {key} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE {key} IS NOT NULL" + ("" if column.startswith("'") else f" AND {column} IS NOT NULL"))
+    return f"SELECT DISTINCT s, p, o FROM ({' UNION ALL '.join(rows)})" if rows else "SELECT '' AS s, '' AS p, '' AS o WHERE false"
+
+
+# ---------------------------------------------------------------- other views: rules in the SQL that Spark and DuckDB share
+
+
+Rules = list[tuple[str, str, list[tuple[str, str]]]]
+
+
+def derive(spark: SparkSession, sf_dir: str, rules: Rules, predicates: set[str] | None = None) -> DataFrame:
+    """triples(s, p, o) by rules (table, subject, [(predicate, object)]), subjects and objects being SQL expressions; null ones give none."""
+    parts = []
+    for table, subject, facts in rules:
+        own = [x for x in facts if predicates is None or x[0] in predicates]
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet") if own else None
+        parts += [rows.select(F.expr(subject).alias("s"), F.lit(p).alias("p"), F.expr(o).cast("string").alias("o")) for p, o in own]
+    out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "s string, p string, o string")
+    return out.where("s is not null and o is not null").distinct()
+
+
+def derive_sql(rules: Rules, predicates: set[str] | None = None) -> str:
+    rows = [f"SELECT {s} AS s, '{p}' AS p, ({o})::VARCHAR AS o FROM {table}" for table, s, facts in rules for p, o in facts if predicates is None or p in predicates]
+    return f"SELECT DISTINCT s, p, o FROM ({' UNION ALL '.join(rows)}) WHERE s IS NOT NULL AND o IS NOT NULL"
+
+
+# ---------------------------------------------------------------- files
 
 
 def read_text(spark: SparkSession, *paths: str, ids: bool = False) -> DataFrame:
@@ -79,6 +132,23 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(two[0].cast("long").alias("v"), two[1].cast("int").alias("server")).where("v is not null")
 
 
+def dictionary_path(folder: str, stem: str = "str_normal") -> str:
+    """The dictionary file of a folder: the first by name that holds the stem."""
+    found = sorted(str(p) for p in Path(folder).iterdir() if stem in p.name)
+    if not found:
+        raise FileNotFoundError(f"no file named like {stem!r} in {folder}")
+    return found[0]
+
+
+def load(spark: SparkSession, *paths: str, ids: bool = False, into: str | None = None) -> DataFrame:
+    """Bulk load of many text files as one set of triples; into: written there by predicate and read from there."""
+    rows = read_text(spark, *paths, ids=ids)
+    if into is None:
+        return rows
+    write(rows, into)
+    return read(spark, into) if not ids else spark.read.parquet(into).select("s", F.col("p").cast("long").alias("p"), "o")
+
+
 def write(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet, one folder for each predicate (vertical partitioning), clustered by subject within files.  Few predicates hold most
     triples, so rows are dealt by (p, s), not by p alone."""
@@ -147,3 +217,16 @@ def lookup(dictionary: DataFrame, *terms: str) -> dict[str, int]:
     """Ids of a query's constants; an unknown term has id 0."""
     found = {r.term: r.id for r in dictionary.where(F.col("term").isin(*terms)).collect()}  # as many rows as constants
     return {t: found.get(t, 0) for t in terms}
+
+
+def extend_dictionary(dictionary: DataFrame, terms: DataFrame) -> DataFrame:
+    """The dictionary with terms(term) added: known terms keep their ids, new ones get ids above all of these."""
+    new = terms.select("term").where("term is not null").distinct().join(dictionary, "term", "left_anti")
+    top = dictionary.agg(F.coalesce(F.max("id"), F.lit(TYPE_ID))).first()[0]
+    return stored(dictionary.select("term", "id").unionAll(new.repartitionByRange("term").select("term", (F.monotonically_increasing_id() + top + 1).alias("id"))), "dictionary")
+
+
+def hosts_of_terms(dictionary: DataFrame, terms: DataFrame, servers: int) -> DataFrame:
+    """(term, id, server): the home of each of terms(term); an unknown term has id 0 and no server."""
+    known = terms.select("term").distinct().join(dictionary, "term", "left")
+    return known.select("term", F.coalesce("id", F.lit(0)).alias("id"), jump_hash("id", servers).alias("server"))

@@ -11,7 +11,10 @@ def vertex_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("s").alias("v")).agg(F.count("*").alias("weight"))
 
 
-def edge_weights(edges: DataFrame) -> DataFrame:
+def edge_weights(edges: DataFrame, limit: int = 0) -> DataFrame:
+    """(v1, v2, weight) of a log of edges(s, o); limit: only so many of the latest entries of a batch log (seq, s, o) count, 0 means all."""
+    if limit:
+        edges = edges.orderBy(F.col("seq").desc()).limit(limit)
     return edges.groupBy(F.col("s").alias("v1"), F.col("o").alias("v2")).agg(F.count("*").alias("weight"))
 
 

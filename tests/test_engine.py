@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions.hashing import jump, jump_hash
-from quadrille.operators import access, placement, setops, stats
-from quadrille.plans import catalog, planner
-from quadrille.plans.model import Pattern, Query, parse, parse_queries, q
+from quadrille.operators import access, placement, queue, setops, stats
+from quadrille.plans import catalog, planner, settings
+from quadrille.plans.model import Pattern, Query, Request, parse, parse_queries, q
 from quadrille.sources import triples as T
+from quadrille.sources.store import Store
 from quadrille.streaming import weights
 
 TINY = [("a", "type", "T1"), ("a", "type", "T2"), ("b", "type", "T1"), ("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("c", "p", "c"), ("a", "q", "c"), ("a", "p", "b")]
@@ -176,3 +177,127 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert rows(spark.table("w")) == [(1, 2)]
+
+
+# ---------------------------------------------------------------- store, banks, settings
+
+
+def test_scans_reach_parquet(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = planner.solve(T.scans(spark, sf), q("?o", "order/7 placedBy ?c . ?o placedBy ?c"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,7)" in plan and "nation.parquet" not in plan
+    point = planner.solve(T.scans(spark, sf), q("?x", "?x inNation nation/3"))
+    assert point._jdf.queryExecution().executedPlan().toString().count("EqualTo(") >= 2 and point.count() == 6
+    assert T.rdfize(spark, sf, {"inNation"}, objects=["nation/03", "nation/x", "region/1"]).count() == 0
+
+
+def test_store(spark, tmp_path):
+    t = spark.createDataFrame([("a", "rdf:type", "T"), ("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a")], "s string, p string, o string")
+    store = Store.build(t, f"file://{tmp_path}/one")
+    assert rows(store.solve(q("?x ?y", "?x p ?y . ?x rdf:type T"))) == [("a", "b")]
+    assert rows(store.solve(q("?x", "?x p {b, nowhere}"))) == [("a",)] and store.solve(q("?x", "?x nowhere ?y")).columns == ["x"]
+    assert store.solve(q("?x", "nobody p ?x")).count() == 0 and rows(store.solve(q("?y ?p", "c ?p ?y"))) == [("a", "q")]
+    assert store.stats[store.ids("p")["p"]] == (2, 2, 2) and store.ids("rdf:type", "zzz") == {"rdf:type": 1, "zzz": 0}
+    more = store.insert(spark.createDataFrame([("b", "p", "c"), ("d", "p", "a")], "s string, p string, o string"), f"file://{tmp_path}/two")
+    assert rows(more.solve(q("?x ?y", "?x p ?y"))) == [("a", "b"), ("b", "c"), ("d", "a")]
+    assert more.ids("a", "b", "c", "p") == store.ids("a", "b", "c", "p")
+    plan = store.solve(q("?x", "?x p b"), decoded=False)._jdf.queryExecution().executedPlan().toString()
+    assert "by_object" in plan and "PartitionFilters: [isnotnull(p" in plan and "EqualTo(o," in plan
+
+
+def test_hosts_and_dictionary(spark):
+    d = T.build_dictionary(spark.createDataFrame([("a", "rdf:type", "T")], "s string, p string, o string"))
+    more = T.extend_dictionary(d, spark.createDataFrame([("a",), ("new",), ("new",), (None,)], "term string"))
+    known = {r.term: r.id for r in d.collect()}
+    now = {r.term: r.id for r in more.collect()}
+    assert known.items() <= now.items() and set(now) == {*known, "new"} and now["new"] > max(known.values())
+    got = {r.term: (r.id, r.server) for r in T.hosts_of_terms(d, spark.createDataFrame([("a",), ("zz",)], "term string"), 3).collect()}
+    assert got["a"] == (known["a"], int(jump(np.array([known["a"]]), 3)[0])) and got["zz"][0] == 0
+
+
+def test_bank_edits():
+    bank = catalog.Bank("yago2")
+    n = len(bank)
+    assert n == 14 and bank.add(q("?x", "?x p ?y")) == n and len(bank) == n + 1
+    bank.add_heads(n, "?y")
+    bank.set_body(n, q("?x ?y", "?x q ?y").body)
+    assert str(bank.get(n).body[0].p) == "q" and bank.get(n).head == ["x", "y"] and bank.delete(n).head == ["x", "y"]
+    with pytest.raises(ValueError):
+        bank.update(0, Query(["z"], []))
+    with pytest.raises(IndexError):
+        bank.get(n)
+    bank.clear()
+    assert not len(bank)
+
+
+def test_query_files_and_requests(tmp_path):
+    for n in (10, 2):
+        (tmp_path / f"query_workload_Q{n}").write_text(f"SELECT ?v0 WHERE {{\n\t?v0 p{n} a .\n}}\n\nSELECT ?v0 WHERE {{\n?v0 p{n} b .\n}}\n\n")
+    (tmp_path / "other").write_text("no query")
+    got = catalog.read_query_files(tmp_path)
+    assert list(got) == [2, 10] and [str(x.body[0]) for x in got[10]] == ["?v0 p10 a", "?v0 p10 b"]
+    r = Request(got[2][0], 3, "node1", 1.5)
+    assert Request.from_json(r.to_json()) == r
+
+
+def test_settings(tmp_path):
+    text = 'A = "x;y" // note\nTRIGGER_K = 3;\n# note\nGAMA = 1.5\nENABLE_REASSIGN = false\nnum_workloads = 2; data_set_type = "lubm";\nworkload_setting = {\n pattern = (1,6); pattern_frequency = ((100,0),(0,100)); num_query_per_workload = [10, 5];\n};'
+    got = settings.parse_settings(text)
+    assert got["A"] == "x;y" and settings.config(got, 4) == placement.Config(4, False, 3, False, 1.5)
+    assert settings.workloads(got) == {"bank": "lubm", "pattern": [1, 6], "frequency": [[100, 0], [0, 100]], "queries": [10, 5]}
+    with pytest.raises(ValueError):
+        settings.parse_settings("a = (1, 2")
+    (tmp_path / "hosts").write_text("node2 7471 /tmp/a.sock \n\nnode4 7471 /tmp/b.sock\n")
+    assert [h.address for h in settings.read_hosts(tmp_path / "hosts")] == ["node2", "node4"]
+    (tmp_path / "list").write_text("a.nt\nb.nt\n")
+    assert settings.read_list(tmp_path / "list") == ["a.nt", "b.nt"]
+    (tmp_path / "xstr_normal1").write_text("")
+    assert T.dictionary_path(str(tmp_path)).endswith("xstr_normal1")
+    own, n = settings.WORKLOAD, len(settings.WORKLOAD["queries"])
+    made = catalog.workload([(catalog.bank(own["bank"])[i], 0, "o", []) for i in own["pattern"]], own["frequency"][1], own["queries"][1])
+    assert n == 5 and len(made) == 10 and all(x == catalog.bank("lubm")[6] for x in made)
+
+
+def test_load_many_files(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("1 2 3\n1 2 4\n")
+    (tmp_path / "b.nt").write_text("1 2 3\n5 6 7\n")
+    got = T.load(spark, str(tmp_path / "a.nt"), str(tmp_path / "b.nt"), ids=True, into=f"file://{tmp_path}/out")
+    assert rows(got) == [(1, 2, 3), (1, 2, 4), (5, 6, 7)]
+
+
+def test_rounds_settle(spark):
+    e = spark.createDataFrame([(s, 9, "OUT", o) for s, o in ((1, 2), (1, 3), (4, 2), (4, 6), (7, 6), (7, 9))], "s long, p long, d string, o long")
+    v = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 6, 7, 9)], "v long")
+    home = F.pmod(F.col("v"), F.lit(3))
+    none = spark.createDataFrame([], "v long, server long")
+    out, moves = placement.rounds(e, v, none, home, 5, 1)  # a server takes one vertex a round
+    assert moves == [2, 1, 1, 0] and rows(out) == [(2, 1), (3, 1), (6, 1), (9, 1)]
+    at = access.locate(v, home, out)
+    assert stats.edge_cut(e, at).count() == 0
+    first, _ = placement.rounds(e, v, none, home, 1, 1)
+    moved = access.locate(v, home, first).join(access.locate(v, home).withColumnRenamed("server", "source"), "v").where("server <> source").withColumnRenamed("server", "target")
+    assert rows(placement.follow_moves(stats.doi(e, access.locate(v, home)), e, moved)) == rows(stats.doi(e, access.locate(v, home, first)))
+    assert placement.rounds(e, v, none, home, c=placement.Config(enable_reassign=False))[1] == []
+
+
+def test_queue_keeps_repeats_unless_told(spark):
+    new = spark.createDataFrame([(0, 5), (0, 5), (1, 6)], "server long, v long")
+    empty = spark.createDataFrame([], queue.QUEUE)
+    assert rows(queue.push(empty, new, 1)) == [(1, 0, 5), (1, 1, 6)]
+    twice = queue.push(empty, new, 1, False)
+    taken, rest = queue.pop(twice, 1)
+    assert rows(taken) == [(1, 0, 5), (1, 1, 6)] and rows(rest) == [(1, 0, 5)] and rows(queue.waiting(rest)) == [(0, 1)]
+    assert rows(queue.push(rest, new, 2)) == [(1, 0, 5), (2, 1, 6)]
+    with pytest.raises(ValueError):
+        queue.tasks(9, new)
+
+
+def test_orders_and_stars(spark, tiny):
+    assert [tuple(r) for r in setops.spo(tiny).collect()] == sorted(set(TINY)) and [tuple(r) for r in setops.ops(tiny).collect()] == sorted(set(TINY), key=lambda t: t[::-1])
+    d = tiny.select("s", "p", F.lit("OUT").alias("d"))
+    assert [tuple(r) for r in setops.spd(d).collect()] == sorted((s, p, "OUT") for s, p, _ in set(TINY))
+    got = access.star_reply(tiny, spark.createDataFrame([("a",), ("c",)], "v string"), ["p", "q"]).collect()
+    assert sorted((r.s, [(x.p, x.o_vals) for x in r.edges]) for r in got) == [("a", [("p", ["b"]), ("q", ["c"])]), ("c", [("p", ["a", "c"])])]
+    assert rows(planner.star(tiny, q("?x", "?x type T1 . ?x q ?y").body, "x")) == [("a",)]
+    kept = setops.add_scored(spark.createDataFrame([(1, 5)], "v int, score int"), spark.createDataFrame([(1, 9), (2, 1)], "v int, score int"), keep=True)
+    assert rows(kept) == [(1, 5), (2, 1)]

@@ -35,4 +35,4 @@ def test_query(spark, duck, name):
         assert sorted(names) == cols
         assert got == ordered(tuple(r[names.index(c)] for c in cols) for r in rel.fetchall())
     else:
-        assert name == "query_catalog" and len(got) == 38
+        raise AssertionError(f"{name} has no SQL")
