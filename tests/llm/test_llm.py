@@ -350,10 +350,10 @@ def test_lm_strengths_are_those_of_the_likeliest(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
     chunks = lm_score.chunks_of(d)
     told = lm_score.answers(chunks, 4, 400)
-    assert lm_score.fit_strengths(chunks, told, 4, 60 * 41 + 12, 60)[1] == 25.0
+    assert lm_score.fit_strengths(chunks, told, 4, 60 * 41 + 12, *lm_score.some_chunks(chunks))[1] == 25.0
     same = d.withColumn("text", F.lit("a b c d e f g"))  # and here everything
     chunks = lm_score.chunks_of(same)
-    assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 8 + 9, 60) == (50.0, 0.5)
+    assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 8 + 9, *lm_score.some_chunks(chunks)) == (100.0, 0.5)
 
 
 def test_lm_on_held_out_rows(spark):
