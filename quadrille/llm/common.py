@@ -80,9 +80,10 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows: a batch of long texts must fit beside its neighbours in an executor."""
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Arrow batches of few rows and bytes: a batch of long texts or packed values must fit beside its neighbours in an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 UNKNOWN = 1 << 62  # the optimizer's estimate of what it knows nothing about is 2**63 - 1, before it scales it by columns
