@@ -1,12 +1,12 @@
 """Operator 7: language ID by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
-The network reads a word's bytes (ASCII lower-cased, a space before and after) in both directions from fresh states and gives every
-position probabilities of the languages; a document's probabilities are the mean over all positions of all its words.  States do
-not pass from word to word, so equal words of a chunk are run once and counted as often as they occur: whole texts are labelled at
-a fraction of the cost.  Words of more than LONGEST bytes are read in parts of that length.
+The network reads a text's bytes (ASCII lower-cased, white space as a space, a space before and after) in both directions and gives
+every position probabilities of the languages; a document's probabilities are the mean over all its positions.  States run through
+the text, across words.  A text is read in blocks of CORE positions side by side, each with CONTEXT positions more on both sides
+that are read but not counted, so every counted position has read at least CONTEXT bytes, or all there are, on either side.
 
-Trained by backpropagation through time (Adam) on at most TRAIN_WORDS words of at most TRAIN_DOCS documents, spread over the
-languages; a document gives up to DOC_WORDS words, from anywhere in its text.
+Trained by backpropagation through time (Adam) on at most TRAIN_PIECES pieces of PIECE bytes of at most TRAIN_DOCS documents, spread
+over the languages; a document gives up to DOC_PIECES pieces, evenly spaced from its beginning to its end.
 
 Defined results: null text or text without a letter is `und` with score 0; null lang teaches nothing; without any language to learn
 from all is `und`; repeated rows are labelled row by row; an empty table gives no rows; other columns pass through `identify`.
@@ -25,12 +25,19 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from quadrille.llm import common as C
 
 HIDDEN = 12
-LONGEST = 24
+CORE = 448
+CONTEXT = 32
+ROWS = 512  # blocks that are read side by side
 TRAIN_DOCS = 2_400
-DOC_WORDS = 60
-TRAIN_WORDS = 120_000
-STEPS = 700
-BATCH = 512
+DOC_PIECES = 10
+TRAIN_PIECES = 24_000
+PIECE = 64
+LENGTHS = (16, 32, 64)  # of the sequences of a training step
+STEPS = 600
+POSITIONS = 8192  # of a training step
+
+_READ = C.lower_ascii(np.arange(256, dtype=np.uint8))
+_READ[list(C.SPACES)] = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -48,10 +55,10 @@ def new_network(langs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def _direction(p: dict, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (time, row, hidden) of one direction over x (time, row); gates: update, reset, candidate."""
+def _direction(p: dict, d: str, x: np.ndarray, out: np.ndarray, keep: list | None = None, live: np.ndarray | None = None) -> None:
+    """States of one direction over x (time, row), into out (time, row, hidden); gates: update, reset, candidate.  Where live is false
+    (after a row's end) the state stays zero."""
     n, h = HIDDEN, np.zeros((x.shape[1], HIDDEN), np.float32)
-    out = np.empty((*x.shape, n), np.float32)
     table = p[f"x{d}"] + p[f"c{d}"]
     u = p[f"u{d}"]
     for t in range(len(x)) if d == "f" else reversed(range(len(x))):
@@ -62,14 +69,15 @@ def _direction(p: dict, d: str, x: np.ndarray, keep: list | None = None) -> np.n
         new = h + z[:, :n] * (c - h)
         if keep is not None:
             keep.append((t, h, z, c, b))
-        h = new
+        h = new if live is None else new * live[t][:, None]
         out[t] = h
-    return out
 
 
-def forward(p: dict, x: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forward(p: dict, x: np.ndarray, keep: tuple[list, list] | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (time, row, language) of every position, and the joined states."""
-    both = np.concatenate([_direction(p, "f", x, keep and keep[0]), _direction(p, "b", x, keep and keep[1])], 2)
+    both = np.empty((*x.shape, 2 * HIDDEN), np.float32)
+    _direction(p, "f", x, both[:, :, :HIDDEN], keep and keep[0], live)
+    _direction(p, "b", x, both[:, :, HIDDEN:], keep and keep[1], live)
     logit = both @ p["o"] + p["ob"]
     logit -= logit.max(2, keepdims=True)
     e = np.exp(logit)
@@ -91,6 +99,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, n
     for i, d in enumerate("fb"):
         u = p[f"u{d}"]
         gx, gu = np.zeros((256, 3 * n), np.float32), np.zeros_like(u)
+        into = np.empty((t_all, rows, 3 * n), np.float32)
         dh = np.zeros((rows, n), np.float32)
         for t, h, z, c, b in reversed(keep[i]):
             dh = dh + back[t][:, i * n : (i + 1) * n]
@@ -99,28 +108,29 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, n
             da = np.concatenate([dh * (c - h) * zu * (1 - zu), dc * b[:, 2 * n :] * zr * (1 - zr), dc], 1)
             db = da.copy()
             db[:, 2 * n :] *= zr
-            np.add.at(gx, x[t], da)
+            into[t] = da
             gu += h.T @ db
             dh = dh * (1 - zu) + db @ u.T
+        by = np.argsort(x, axis=None, kind="stable")
+        first, _ = C.runs_of(x.ravel()[by])
+        gx[x.ravel()[by[first]]] = np.add.reduceat(into.reshape(-1, 3 * n)[by], first, axis=0)
         g[f"x{d}"], g[f"u{d}"], g[f"c{d}"] = gx, gu, gx.sum(0)
     return float(loss), g
 
 
-def fit(words: list[bytes], y: np.ndarray, langs: int, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Adam on batches of words of one length."""
+def fit(pieces: np.ndarray, y: np.ndarray, langs: int, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """Adam on cuts of one length from pieces (piece, byte)."""
     rng = np.random.default_rng(11)
     p = new_network(langs, rng)
-    if not words or langs < 2:
+    if not len(pieces) or langs < 2:
         return p
-    size = np.array([len(w) for w in words])
-    groups = [np.flatnonzero(size == k) for k in np.unique(size)]
-    weight = np.array([len(g) for g in groups], float)
-    padded = [np.stack([np.frombuffer(b" " + words[i] + b" ", np.uint8) for i in g], 1) for g in groups]
+    pieces = np.ascontiguousarray(pieces.T)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for s in range(1, steps + 1):
-        k = rng.choice(len(groups), p=weight / weight.sum())
-        pick = rng.integers(0, len(groups[k]), min(BATCH, len(groups[k])))
-        _, g = gradients(p, padded[k][:, pick], y[groups[k][pick]])
+        size = int(rng.choice(LENGTHS))
+        at = int(rng.integers(0, PIECE - size + 1))
+        pick = rng.integers(0, len(y), POSITIONS // size)
+        _, g = gradients(p, pieces[at : at + size, pick], y[pick])
         rate = 0.02 * min(1.0, 2.0 * (1 - s / (steps + 1)))
         for name, d in g.items():
             m[name] = 0.9 * m[name] + 0.1 * d
@@ -129,48 +139,44 @@ def fit(words: list[bytes], y: np.ndarray, langs: int, steps: int = STEPS) -> di
     return p
 
 
-def word_probabilities(p: dict, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums over the positions of each word (at most LONGEST bytes) of the languages' probabilities."""
-    out = np.zeros((len(starts), p["o"].shape[1]), np.float32)
-    for k in np.unique(lengths):
-        at = np.flatnonzero(lengths == k)
-        for i in range(0, len(at), 8192):
-            own = at[i : i + 8192]
-            x = np.full((k + 2, len(own)), 32, np.uint8)
-            x[1:-1] = data[starts[own] + np.arange(k)[:, None]]
-            out[own] = forward(p, x)[0].sum(0)
-    return out
-
-
-def label_texts(p: dict, column) -> tuple[np.ndarray, np.ndarray]:
-    """Mean probabilities of each text, and its number of positions."""
+def label_texts(p: dict, column) -> np.ndarray:
+    """Mean probabilities of all positions of each text; zeros for an empty one."""
     data, at = C.text_bytes(column)
-    data = C.lower_ascii(data)
-    starts, ends, words_at = C.word_spans(data, at)
-    length = ends - starts
-    if len(length) and length.max() > LONGEST:  # parts of long words
-        parts = -(-length // LONGEST)
-        first = np.cumsum(parts) - parts
-        k = np.arange(parts.sum()) - np.repeat(first, parts)
-        starts = np.repeat(starts, parts) + k * LONGEST
-        ends = np.minimum(np.repeat(ends, parts), starts + LONGEST)
-        words_at = np.concatenate([[0], np.cumsum(parts)])[words_at]
-        length = ends - starts
-    h = C.word_hashes(data, starts, ends)
-    _, index, back = np.unique(h, return_index=True, return_inverse=True)
-    each = word_probabilities(p, data, starts[index], length[index])[back]
-    sums = np.zeros((len(at) - 1, each.shape[1]))
-    full = np.flatnonzero(np.diff(words_at) > 0)
+    data = _READ[data]
+    length = np.diff(at)
+    size = np.where(length > 0, length + 2, 0)
+    blocks = -(-size // CORE)
+    of = np.repeat(np.arange(len(size)), blocks)
+    first = np.cumsum(blocks) - blocks
+    begin = (np.arange(len(of)) - first[of]) * CORE
+    end = np.minimum(begin + CORE, size[of])
+    low, high = np.maximum(begin - CONTEXT, 0), np.minimum(end + CONTEXT, size[of])
+    sums = np.zeros((len(of), p["o"].shape[1]))
+    order = np.argsort(high - low, kind="stable")
+    for i in range(0, len(order), ROWS):
+        b = order[i : i + ROWS]
+        step = np.arange(int((high[b] - low[b]).max()))[:, None]
+        pos = low[b] + step  # in the text with its two spaces
+        within = (pos > 0) & (pos <= length[of[b]])
+        x = np.where(within, data[np.where(within, at[of[b]] + pos - 1, 0)], np.uint8(32))
+        live = pos < high[b]
+        prob, _ = forward(p, x, live=None if live.all() else live)
+        sums[b] = np.einsum("trl,tr->rl", prob, ((pos >= begin[b]) & (pos < end[b])).astype(np.float32))
+    out = np.zeros((len(size), sums.shape[1]))
+    full = np.flatnonzero(blocks)
     if len(full):
-        sums[full] = np.add.reduceat(each, words_at[full], axis=0)
-    positions = np.diff(np.concatenate([[0], np.cumsum(length + 2)])[words_at])
-    return sums / np.maximum(positions, 1)[:, None], positions
+        out[full] = np.add.reduceat(sums, first[full], axis=0) / size[full, None]
+    return out
 
 
-def doc_words(text: str) -> list[bytes]:
-    """Up to DOC_WORDS of a text's distinct words (long ones in parts, as they are read), evenly spaced from the first in order to the last."""
-    own = sorted({w[i : i + LONGEST] for w in text.encode().lower().split() for i in range(0, len(w), LONGEST)})
-    return own if len(own) <= DOC_WORDS else [own[i * (len(own) - 1) // (DOC_WORDS - 1)] for i in range(DOC_WORDS)]
+def doc_pieces(text: str) -> list[bytes]:
+    """Up to DOC_PIECES pieces of PIECE bytes, evenly spaced from a text's beginning to its end; a shorter text is repeated to that length."""
+    own = b" " + text.encode().translate(_READ.tobytes()) + b" "
+    spare = len(own) - PIECE
+    if spare <= 0:
+        return [(own * PIECE)[:PIECE]]
+    k = min(DOC_PIECES, 2 + spare // PIECE)
+    return [own[x : x + PIECE] for x in (i * spare // (k - 1) for i in range(k))]
 
 
 def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -184,19 +190,20 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()])
     sample = taught.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * float(1 << 20))
 
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got, of = [], []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                own = doc_words(text)
+                own = doc_pieces(text)
                 got += own
                 of += [lang] * len(own)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "word": pa.array(got, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "piece": pa.array(got, pa.binary())})
 
-    rows = sample.mapInArrow(words, "lang string, word binary").limit(2 * TRAIN_WORDS).toPandas()  # twice what is expected at most
-    rows = rows.sort_values(["lang", "word"], kind="stable").sample(n=min(len(rows), TRAIN_WORDS), random_state=5)
+    rows = sample.mapInArrow(cut, "lang string, piece binary").limit(2 * TRAIN_PIECES).toPandas()  # twice what is expected at most
+    rows = rows.sort_values(["lang", "piece"], kind="stable").sample(n=min(len(rows), TRAIN_PIECES), random_state=5)
     where = {k: i for i, k in enumerate(langs)}
-    return langs, fit([bytes(w) for w in rows["word"]], rows["lang"].map(where).to_numpy().astype(np.int64), len(langs))
+    pieces = np.frombuffer(b"".join(map(bytes, rows["piece"])), np.uint8).reshape(-1, PIECE)
+    return langs, fit(pieces, rows["lang"].map(where).to_numpy().astype(np.int64), len(langs))
 
 
 def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray], into: str = "langid") -> DataFrame:
@@ -211,7 +218,7 @@ def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray],
         for t in C.chunks(batches, C.CHUNK_BYTES):
             texts = t["text"].to_pylist()
             letters = np.array([bool(x) and next((True for c in x if c.isalpha()), False) for x in texts])
-            prob, _ = label_texts(p, t["text"])
+            prob = label_texts(p, t["text"])
             best = prob.argmax(1)
             known = letters & bool(names)
             lang = [names[i] if k else "und" for i, k in zip(best, known)]

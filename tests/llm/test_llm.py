@@ -265,10 +265,29 @@ def test_langid_gradients():
 
 
 def test_langid_learns_from_all_of_a_text():
-    words = [f"w{i:03}" for i in range(100)] + ["été"]
-    got = langid.doc_words(" ".join(words))
-    assert len(got) == len(set(got)) == langid.DOC_WORDS and got[0] == b"w000" and got[-1] == "été".encode()
-    assert langid.doc_words("a" * 24 + "b" * 24 + "c") == [b"a" * 24, b"b" * 24, b"c"]
+    own = b" " + " ".join(f"w{i:03}" for i in range(400)).encode() + b" "
+    got = langid.doc_pieces(own[1:-1].decode())
+    assert len(got) == langid.DOC_PIECES and all(len(x) == langid.PIECE for x in got) and got[0] == own[: langid.PIECE] and got[-1] == own[-langid.PIECE :]
+    assert b"".join(langid.doc_pieces("A\tb" * 32)) == (b" " + b"a b" * 32 + b" ")[: langid.PIECE] + (b" " + b"a b" * 32 + b" ")[-langid.PIECE :]
+    assert langid.doc_pieces("Eis") == [(b" eis " * 64)[: langid.PIECE]] and langid.doc_pieces("") == [b" " * langid.PIECE]
+
+
+def test_langid_blocks_read_as_the_whole_text():
+    """Labels do not follow what other texts stand beside a text, and hardly where its blocks are cut."""
+    rng = np.random.default_rng(4)
+    kinds = [b"abcdefgh ", b"stuvwxyz "]
+    take = lambda k, n: bytes(rng.choice(list(kinds[k]), n).astype(np.uint8)).decode()
+    y = np.arange(600) % 2
+    p = langid.fit(np.frombuffer("".join(take(k, langid.PIECE) for k in y).encode(), np.uint8).reshape(-1, langid.PIECE), y, 2, steps=120)
+    many = [take(i % 2, n) for i, n in enumerate([1, 446, 447, 448, 449, 900, 5000, 20_000])] + ["", None, take(0, 700) + take(1, 2100)]
+    got = langid.label_texts(p, pa.array(many, pa.string()))
+    assert (got[8:10] == 0).all() and (got[:8].argmax(1) == np.arange(8) % 2).all() and got[10].argmax() == 1
+    assert got[10][0] == pytest.approx(0.25, abs=0.02)  # every position counts, where the languages change too
+    for text, x in zip(many, got):
+        if text:
+            assert langid.label_texts(p, pa.array([text]))[0] == pytest.approx(x, abs=1e-5)
+            seq = np.frombuffer(f" {text} ".encode(), np.uint8)[:, None]
+            assert langid.forward(p, seq)[0].mean(0)[0] == pytest.approx(x, abs=0.01)
 
 
 def test_langid(spark, docs, empty):

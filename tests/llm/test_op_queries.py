@@ -107,77 +107,14 @@ def test_quality_by_definition(spark, results, texts):
         return int(C.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
 
     def by_hand(text):
-        raw = (text or "").encode()
-        h = [word(w) for w in raw.split()]
-        base = C._BASE
-        grams = {mix(v + 1) for v in h} | {mix(mix(a * base + b) + 2) for a, b in zip(h, h[1:])}
-        grams |= {mix(mix(int.from_bytes(raw[i : i + 4], "little")) + 3) for i in range(len(raw) - 3)}
-        on = sorted({g >> (64 - quality.BITS) for g in grams})
-        r, w = m["r"].astype(float), m["w"].astype(float)
-        norm = sum(r[i] ** 2 for i in on) ** 0.5
-        z = sum(r[i] * w[i] for i in on) / max(norm, 1e-9) + w[-1]
-        return 1 / (1 + np.exp(-np.clip(m["ab"][0] * z + m["ab"][1], -40, 40)))
-
-    short = [d for d, t in texts.items() if len(t or "") < 3000][:60]
-    for d in short:
-        assert x.score[d] == pytest.approx(by_hand(texts[d]), abs=1e-6)
-    assert (x.predicted == (x.score >= 0.3)).all() and (x.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in x.index]).all()
-    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
-    held = [d for d in x.index if x.held_out[d] and d in y]
-    order = sorted(held, key=lambda d: x.score[d])
-    ranks = [i for i, d in enumerate(order) if y[d] == 1]
-    auc = (sum(ranks) - len(ranks) * (len(ranks) - 1) / 2) / max(1, len(ranks) * (len(held) - len(ranks)))
-    assert auc > 0.85
-
-
-def test_quality_counts_and_descent_by_plain_loops():
-    rng = np.random.default_rng(5)
-    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 12))).astype(np.int32) for _ in range(30)]
-    flat, at, y = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.where(np.arange(30) % 3 == 0, 1.0, -1.0)
-    p, q = np.ones(1 << quality.BITS), np.ones(1 << quality.BITS)
-    for r, c in zip(rows, y):
-        for i in r:
-            (p if c > 0 else q)[i] += 1
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    assert quality.log_ratios(flat, at, y) == pytest.approx(ratio)
-    w = quality.descend(flat, at, y, ratio, epochs=300)
-    x = np.zeros((30, 41))
-    for k, r in enumerate(rows):
-        v = ratio[r]
-        x[k, r], x[k, 40] = v / np.sqrt(v @ v), 1
-    cost = np.where(y > 0, 30 / (2 * (y > 0).sum()), 30 / (2 * (y <= 0).sum()))
-    primal = lambda u: 0.5 * u @ u + (cost * np.maximum(0, 1 - y * (x @ u))).sum()
-    own = np.append(w[:40], w[-1])
-    best = primal(own)
-    for _ in range(300):  # nothing near does better than the minimum
-        assert primal(own + 0.05 * rng.standard_normal(41)) > best - 1e-6
-
-
-def test_langid_by_definition(spark, results, texts):
-    """Labels again by a recurrent step in plain scalars, on words of a few texts."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
-    langs, p = langid.train(docs.where(C.crc_mod(docs.doc_id, 3) != 1))
-    n = langid.HIDDEN
-
-    def states(d, seq):
-        h, out = np.zeros(n), []
-        for c in seq if d == "f" else seq[::-1]:
-            a, b = (p[f"x{d}"][c] + p[f"c{d}"]).astype(float), h @ p[f"u{d}"].astype(float)
-            z, r = 1 / (1 + np.exp(-(a[:n] + b[:n]))), 1 / (1 + np.exp(-(a[n : 2 * n] + b[n : 2 * n])))
-            h = (1 - z) * h + z * np.tanh(a[2 * n :] + r * b[2 * n :])
-            out.append(h)
-        return np.array(out if d == "f" else out[::-1])
-
-    def by_hand(text):
-        total, positions = np.zeros(len(langs)), 0
-        for w in text.encode().translate(bytes(c + 32 if 65 <= c < 91 else c for c in range(256))).split():
-            for i in range(0, len(w), langid.LONGEST):
-                seq = b" " + w[i : i + langid.LONGEST] + b" "
-                logit = np.concatenate([states("f", seq), states("b", seq)], 1) @ p["o"] + p["ob"]
-                e = np.exp(logit - logit.max(1, keepdims=True))
-                total += (e / e.sum(1, keepdims=True)).sum(0)
-                positions += len(seq)
-        return total / positions
+        seq = f" {text} ".encode().translate(bytes(c + 32 if 65 <= c < 91 else 32 if 9 <= c < 14 else c for c in range(256)))
+        total = np.zeros(len(langs))
+        for a in range(0, len(seq), langid.CORE):
+            low, own = max(0, a - langid.CONTEXT), seq[max(0, a - langid.CONTEXT) : a + langid.CORE + langid.CONTEXT]
+            logit = (np.concatenate([states("f", own), states("b", own)], 1) @ p["o"] + p["ob"])[a - low : a - low + langid.CORE]
+            e = np.exp(logit - logit.max(1, keepdims=True))
+            total += (e / e.sum(1, keepdims=True)).sum(0)
+        return total / len(seq)
 
     x = results["op7_langid"].set_index("doc_id")
     assert (x.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in x.index]).all()
