@@ -40,10 +40,6 @@ _READ = C.lower_ascii(np.arange(256, dtype=np.uint8))
 _READ[list(C.SPACES)] = 32
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1.0)
-
-
 def new_network(langs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     p = {}
     for d in "fb":
@@ -56,32 +52,43 @@ def new_network(langs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def _direction(p: dict, d: str, x: np.ndarray, out: np.ndarray, keep: list | None = None, live: np.ndarray | None = None) -> None:
-    """States of one direction over x (time, row), into out (time, row, hidden); gates: update, reset, candidate.  Where live is false
-    (after a row's end) the state stays zero."""
-    n, h = HIDDEN, np.zeros((x.shape[1], HIDDEN), np.float32)
-    table = p[f"x{d}"] + p[f"c{d}"]
-    u = p[f"u{d}"]
+    """States of one direction over x (time, row), into out (time, hidden, row); gates: update, reset, candidate.  Where live is false
+    (after a row's end) the state stays zero.  Rows lie last, so each step works on long contiguous runs."""
+    n, rows = HIDDEN, x.shape[1]
+    kind = p["o"].dtype
+    half = np.repeat(np.array([0.5, 1], kind), [2 * n, n])  # sigmoid(v) = (tanh(v / 2) + 1) / 2
+    table, u = ((p[f"x{d}"] + p[f"c{d}"]) * half).T.copy(), (p[f"u{d}"] * half).T.copy()
+    h, a = np.zeros((n, rows), kind), np.empty((3 * n, rows), kind)
     for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-        a = table[x[t]]
-        b = h @ u
-        z = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-        c = np.tanh(a[:, 2 * n :] + z[:, n:] * b[:, 2 * n :])
-        new = h + z[:, :n] * (c - h)
+        np.take(table, x[t], axis=1, out=a, mode="clip")
+        b = u @ h
+        z = a[: 2 * n] + b[: 2 * n]
+        np.tanh(z, out=z)
+        z += 1
+        z *= 0.5
+        c = z[n:] * b[2 * n :]
+        c += a[2 * n :]
+        np.tanh(c, out=c)
         if keep is not None:
-            keep.append((t, h, z, c, b))
-        h = new if live is None else new * live[t][:, None]
-        out[t] = h
+            keep.append((t, h, z, c, b[2 * n :]))
+        new = c - h
+        new *= z[:n]
+        new += h
+        if live is not None:
+            new *= live[t]
+        h = out[t] = new
 
 
 def forward(p: dict, x: np.ndarray, keep: tuple[list, list] | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (time, row, language) of every position, and the joined states."""
-    both = np.empty((*x.shape, 2 * HIDDEN), np.float32)
-    _direction(p, "f", x, both[:, :, :HIDDEN], keep and keep[0], live)
-    _direction(p, "b", x, both[:, :, HIDDEN:], keep and keep[1], live)
-    logit = both @ p["o"] + p["ob"]
-    logit -= logit.max(2, keepdims=True)
-    e = np.exp(logit)
-    return e / e.sum(2, keepdims=True), both
+    """Probabilities (time, language, row) of every position, and the joined states."""
+    both = np.empty((len(x), 2 * HIDDEN, x.shape[1]), p["o"].dtype)
+    _direction(p, "f", x, both[:, :HIDDEN], keep and keep[0], live)
+    _direction(p, "b", x, both[:, HIDDEN:], keep and keep[1], live)
+    e = p["o"].T @ both + p["ob"][:, None]
+    e -= e.max(1, keepdims=True)
+    np.exp(e, out=e)
+    e /= e.sum(1, keepdims=True)
+    return e, both
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -89,30 +96,30 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, n
     keep: tuple[list, list] = ([], [])
     prob, both = forward(p, x, keep)
     t_all, rows = x.shape
-    loss = -np.log(np.maximum(prob[:, np.arange(rows), y], 1e-9)).mean()
+    own = np.arange(rows)
+    loss = -np.log(np.maximum(prob[:, y, own], 1e-9)).mean()
     dl = prob.copy()
-    dl[:, np.arange(rows), y] -= 1
+    dl[:, y, own] -= 1
     dl /= t_all * rows
-    g = {"o": np.tensordot(both, dl, ((0, 1), (0, 1))), "ob": dl.sum((0, 1))}
-    back = dl @ p["o"].T
+    g = {"o": np.tensordot(both, dl, ((0, 2), (0, 2))), "ob": dl.sum((0, 2))}
+    back = p["o"] @ dl
     n = HIDDEN
+    by = np.argsort(x, axis=None, kind="stable")
+    first, _ = C.runs_of(x.ravel()[by])
     for i, d in enumerate("fb"):
         u = p[f"u{d}"]
-        gx, gu = np.zeros((256, 3 * n), np.float32), np.zeros_like(u)
-        into = np.empty((t_all, rows, 3 * n), np.float32)
-        dh = np.zeros((rows, n), np.float32)
+        gx, gu = np.zeros((256, 3 * n), u.dtype), np.zeros_like(u)
+        into = np.empty((t_all, rows, 3 * n), u.dtype)
+        dh = np.zeros((n, rows), u.dtype)
         for t, h, z, c, b in reversed(keep[i]):
-            dh = dh + back[t][:, i * n : (i + 1) * n]
-            zu, zr = z[:, :n], z[:, n:]
+            dh = dh + back[t, i * n : (i + 1) * n]
+            zu, zr = z[:n], z[n:]
             dc = dh * zu * (1 - c * c)
-            da = np.concatenate([dh * (c - h) * zu * (1 - zu), dc * b[:, 2 * n :] * zr * (1 - zr), dc], 1)
-            db = da.copy()
-            db[:, 2 * n :] *= zr
-            into[t] = da
-            gu += h.T @ db
-            dh = dh * (1 - zu) + db @ u.T
-        by = np.argsort(x, axis=None, kind="stable")
-        first, _ = C.runs_of(x.ravel()[by])
+            da = np.concatenate([dh * (c - h) * zu * (1 - zu), dc * b * zr * (1 - zr), dc])
+            into[t] = da.T
+            da[2 * n :] *= zr
+            gu += h @ da.T
+            dh = dh * (1 - zu) + u @ da
         gx[x.ravel()[by[first]]] = np.add.reduceat(into.reshape(-1, 3 * n)[by], first, axis=0)
         g[f"x{d}"], g[f"u{d}"], g[f"c{d}"] = gx, gu, gx.sum(0)
     return float(loss), g
@@ -161,7 +168,8 @@ def label_texts(p: dict, column) -> np.ndarray:
         x = np.where(within, data[np.where(within, at[of[b]] + pos - 1, 0)], np.uint8(32))
         live = pos < high[b]
         prob, _ = forward(p, x, live=None if live.all() else live)
-        sums[b] = np.einsum("trl,tr->rl", prob, ((pos >= begin[b]) & (pos < end[b])).astype(np.float32))
+        prob *= ((pos >= begin[b]) & (pos < end[b]))[:, None]
+        sums[b] = prob.sum(0).T
     out = np.zeros((len(size), sums.shape[1]))
     full = np.flatnonzero(blocks)
     if len(full):
