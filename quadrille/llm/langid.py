@@ -223,7 +223,7 @@ def identify(docs: DataFrame, langs: list[str], network: dict[str, np.ndarray],
 
     def labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, p = held.value
-        for t in C.chunks(batches, C.CHUNK_BYTES):
+        for t in C.chunks(batches, C.CHUNK_BYTES // 4):  # some thousand blocks are enough to fill ROWS
             texts = t["text"].to_pylist()
             letters = np.array([bool(x) and next((True for c in x if c.isalpha()), False) for x in texts])
             prob = label_texts(p, t["text"])
