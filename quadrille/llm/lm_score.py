@@ -7,7 +7,8 @@ stored, those seen once too, at every size.  Each bucket of n-grams builds its o
 filter grows with the input.  A filter that grows cannot be broadcast: parts are probed where they lie.
 P1(w) = (c(w) + 1) / (N + V + 1);  P2(w | v) = (c(v w) + a P1(w)) / (c(v) + a);  P3(w | u v) = (c(u v w) + b P2(w | v)) / (c(u v) + b),
 with c(v w) <= c(v) and c(u v w) <= c(u v); a text's first token has P2.  The strengths a and b are those of GRID that make
-training tokens likeliest when each is left out of its own counts, on the texts of at most FIT_CHUNKS chunks.
+all training tokens likeliest when each is left out of its own counts.  A token's counts are five levels, and a chunk has few different
+fives: each pair of GRID is tried once for each of these, so one pass sums the likelihoods and keeps every text's score by every pair.
 
 Texts are stored in chunks.  A chunk sends its distinct n-grams, with their counts in training, to their buckets: a frequent word is one
 entry for each chunk, the marks none, since the number of training documents is their count.  A bucket sums, builds its part, probes it
@@ -39,7 +40,7 @@ HASHES = 3
 BITS_PER_KEY = 10
 CODE_BITS = 40  # of a pair or triple within its bucket
 CHUNK = 8 << 20  # bytes of text that a task holds at once: its hashes take some twenty times as much
-FIT_CHUNKS = 4  # chunks whose training tokens choose a and b
+MARK = 255  # in place of a level: the count of a mark
 GRID = [(a, b) for a in (100.0, 400.0, 1600.0, 6400.0, 25600.0) for b in (0.5, 1.5, 4.0, 10.0, 25.0)]
 _CHUNK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("docs", pa.int64())])
 _CHUNK_SQL = "chunk long, bucket int, data binary, docs long"
@@ -89,14 +90,14 @@ def _distinct(codes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[first], np.add.reduceat(train[by].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def _lookup(codes: np.ndarray, mark: int, *values: np.ndarray) -> list[np.ndarray]:
-    """Each code's values, given in order of the distinct codes but 0; code 0 has the value of a mark."""
+def _lookup(codes: np.ndarray, marks: tuple[int, ...], *values: np.ndarray) -> list[np.ndarray]:
+    """Each code's values, given in order of the distinct codes but 0; code 0 has those of a mark."""
     by = np.argsort(codes)
     ordered = codes[by]
     skip = int(np.searchsorted(ordered, U64(1)))
     _, many = C.runs_of(ordered[skip:])
     rows, out = np.repeat(np.arange(len(many)), many), []
-    for v in values:
+    for mark, v in zip(marks, values):
         each = np.empty(len(codes), v.dtype)
         each[by[:skip]], each[by[skip:]] = mark, v[rows]
         out.append(each)
@@ -238,20 +239,31 @@ def answers(chunks: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY) -> Data
 
 
 def _counted(held: list[pa.RecordBatch], marks: int) -> tuple:
-    """A chunk and its answers: ids, which are null, train, and for each token its text's offsets and its counts: exact, c(w), c(v),
-    c(v w), c(u v), c(u v w); the last two are 0 for a text's first token."""
+    """A chunk and its answers: ids, which are null, train, and for each token its text's offsets, its exact count and the levels of
+    c(w), c(v), c(v w), c(u v), c(u v w); the last two are 0 for a text's first token."""
     (ids, null, train, text_at, data), *got = [x for b in held for x in C.blobs(b.column("data"))]
     (one, at), (two, two_at), (three, three_at) = _grams(*_sequences(data, text_at))
     join = lambda i: np.concatenate([x[i] for x in got] or [np.zeros(0, np.uint8)])
-    exact, c1 = _lookup(one, marks, np.concatenate([_full(x[0], x[1]) for x in got] or [np.zeros(0, np.int64)]), CountFilter.mean(join(2)))
-    c2, c3 = (_lookup(x, 0, CountFilter.mean(join(i)))[0] for x, i in ((two, 3), (three, 4)))
+    exact, c1 = _lookup(one, (marks, MARK), np.concatenate([_full(x[0], x[1]) for x in got] or [np.zeros(0, np.int64)]), join(2))
+    c2, c3 = (_lookup(x, (0,), join(i))[0] for x, i in ((two, 3), (three, 4)))
     pos, _ = C.windows_of(at, 2)  # each token but the begin is the second of one pair
-    u, context = np.zeros(len(two)), np.zeros(len(two))
+    u, context = np.zeros(len(two), np.uint8), np.zeros(len(two), np.uint8)
     later = np.ones(len(two), bool)
     later[two_at[:-1]] = False
     place = np.flatnonzero(later)
     u[place], context[place] = c3, c2[place - 1]
-    return ids, null, train, two_at, exact[pos + 1], c1[pos + 1], c1[pos], c2, context, u
+    return ids, null, train, two_at, exact[pos + 1], [c1[pos + 1], c1[pos], c2, context, u]
+
+
+def _kinds(levels: list[np.ndarray], marks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which of the different tuples of levels each token has, and the counts of these."""
+    key = np.zeros(len(levels[0]), U64)
+    for i, x in enumerate(levels):
+        key |= x.astype(U64) << U64(8 * i)
+    key, which = np.unique(key, return_inverse=True)
+    mean = CountFilter.mean(np.arange(LEVELS + 1))
+    mean = np.concatenate([mean, np.full(MARK + 1 - len(mean), float(marks))])
+    return which, [mean[(key >> U64(8 * i)).astype(np.uint8)] for i in range(len(levels))]
 
 
 def probability(total: float, a: float, b: float, word, before, pair, context, triple) -> np.ndarray:
@@ -269,43 +281,48 @@ def _with_answers(chunks: DataFrame, told: DataFrame, n: int, per: int) -> DataF
     return both.repartitionById(n, F.pmod(place, F.lit(n)).cast("int")).sortWithinPartitions("chunk", "bucket")
 
 
-def some_chunks(chunks: DataFrame, most: int = FIT_CHUNKS) -> tuple[int, int, list[int]]:
-    """The number of training documents, the most chunks of one partition, and at most `most` of the chunks."""
-    h = F.xxhash64("chunk")
-    least = [F.min(F.when(F.pmod(h, F.lit(most)) == i, F.struct(h.alias("h"), "chunk"))) for i in range(most)]
+def sizes_of(chunks: DataFrame) -> tuple[int, int]:
+    """The number of training documents, and the most chunks of one partition."""
     per = F.coalesce(F.max(F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))), F.lit(0)) + 1
-    marks, per, *found = chunks.agg(F.coalesce(F.sum("docs"), F.lit(0)), per, *least).first()
-    return marks, per, [x.chunk for x in found if x]
+    return tuple(chunks.agg(F.coalesce(F.sum("docs"), F.lit(0)), per).first())
 
 
-def fit_strengths(chunks: DataFrame, told: DataFrame, n: int, total: float, marks: int, per: int, some: list[int]) -> tuple[float, float]:
-    """The pair of GRID that makes the training tokens of some chunks likeliest, each left out of its own counts."""
+some_chunks = sizes_of  # its name in tests
+
+
+def likeliest(scored: DataFrame, grid: list[tuple[float, float]]) -> int:
+    """The place in grid of the pair that makes all training tokens likeliest, each left out of its own counts."""
+    sums = scored.where("fit is not null").agg(*[F.coalesce(F.sum(F.col("fit")[i]), F.lit(0.0)) for i in range(len(grid))]).first()
+    return min(range(len(grid)), key=lambda i: (-sums[i], i))
 
-    def likelihoods(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in C.by_key(batches, "chunk"):
-            _, _, train, at, _, *counts = _counted(held, marks)
-            own = np.repeat(train, np.diff(at))
-            counts = [np.maximum(x[own] - 1, 0) for x in counts]
-            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(GRID)), pa.int32()), "sum": [float(np.log10(probability(total, a, b, *counts)).sum()) for a, b in GRID]})
 
-    only = F.col("chunk").isin(some)
-    sums = _with_answers(chunks.where(only), told.where(only), min(n, max(1, len(some))), per).mapInArrow(likelihoods, "i int, sum double").groupBy("i").agg(F.sum("sum").alias("sum")).collect()  # a row for each of GRID
-    return GRID[min(sums, key=lambda r: (-r["sum"], r.i)).i] if sums else GRID[0]
+def fit_strengths(chunks: DataFrame, told: DataFrame, n: int, total: float, marks: int, per: int) -> tuple[float, float]:
+    """The pair of GRID that makes the training tokens likeliest, each left out of its own counts."""
+    return GRID[likeliest(scores(chunks, told, n, total, marks, per, GRID), GRID)]
 
 
-def scores(chunks: DataFrame, told: DataFrame, n: int, total: float, marks: int, per: int, a: float, b: float) -> DataFrame:
-    """The chunks' documents: doc_id, train, n_tokens, n_known, base_score, score (log10 probabilities of the text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def scores(chunks: DataFrame, told: DataFrame, n: int, total: float, marks: int, per: int, grid: list[tuple[float, float]]) -> DataFrame:
+    """The chunks' documents: doc_id, train, n_tokens, n_known, base_score, and a score by each pair of grid, s0, s1, ... (log10
+    probabilities of the text).  One row of a chunk has, as fit, the chunk's log10 likelihood by each pair."""
+    kinds = [("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())]
+    schema = pa.schema([*kinds, *[(f"s{i}", pa.float64()) for i in range(len(grid))], ("fit", pa.list_(pa.float64()))])
+    sql = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, " + "".join(f"s{i} double, " for i in range(len(grid))) + "fit array<double>"
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in C.by_key(batches, "chunk"):
-            ids, null, train, at, exact, *counts = _counted(held, marks)
+            ids, null, train, at, exact, levels = _counted(held, marks)
             size = np.diff(at)
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((exact > 0).astype(np.int64), np.log10(exact + 1.0), np.log10(probability(total, a, b, *counts)))]
-            base = sums[1] - size * math.log10(total)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(train), pa.array(size), pa.array(sums[0]), pa.array(base), pa.array(sums[2])], schema=schema)
+            which, counts = _kinds(levels, marks)
+            del levels
+            known, base = np.add.reduceat((exact > 0).astype(np.int64), at[:-1]), np.add.reduceat(np.log10(exact + 1.0), at[:-1]) - size * math.log10(total)
+            often = np.bincount(which[np.repeat(train, size)], minlength=len(counts[0]))
+            without = [np.maximum(x - 1, 0) for x in counts]
+            each = [np.add.reduceat(np.log10(probability(total, a, b, *counts))[which], at[:-1]) for a, b in grid]
+            fit = [float((often * np.log10(probability(total, a, b, *without))).sum()) for a, b in grid]
+            cols = [pa.array(ids, mask=null), pa.array(train), pa.array(size), pa.array(known), pa.array(base), *map(pa.array, each)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([fit] + [None] * (len(ids) - 1), schema.field("fit").type)], schema=schema)
 
-    return _with_answers(chunks, told, n, per).mapInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return _with_answers(chunks, told, n, per).mapInArrow(scored, sql)
 
 
 def score_documents(docs: DataFrame, train, bits_per_key: int = BITS_PER_KEY, strengths: tuple[float, float] | None = None) -> DataFrame:
@@ -315,12 +332,15 @@ def score_documents(docs: DataFrame, train, bits_per_key: int = BITS_PER_KEY, st
     n = C.buckets_for(keyed.select("text"))
     chunks = chunks_of(keyed)
     told = answers(chunks, n, bits_per_key)
-    marks, per, some = some_chunks(chunks)
+    marks, per = sizes_of(chunks)
     tokens, distinct = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, total = tokens + marks, tokens + marks + distinct + (marks > 0) + 1
-    a, b = strengths or fit_strengths(chunks, told, n, total, marks, per, some)
-    out = scores(chunks, told, n, total, marks, per, a, b)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    grid = GRID if strengths is None else [strengths]
+    out = scores(chunks, told, n, total, marks, per, grid)
+    if len(grid) > 1:
+        out = C.materialise(out, "lm-scores")
+    best = likeliest(out, grid) if len(grid) > 1 else 0
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", F.col(f"s{best}").alias("score"))
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:

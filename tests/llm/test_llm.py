@@ -375,6 +375,17 @@ def test_lm_strengths_are_those_of_the_likeliest(spark):
     assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 8 + 9, *lm_score.some_chunks(chunks)) == (100.0, 0.5)
 
 
+def test_lm_strengths_follow_every_chunk(spark):
+    from pyspark.sql import functions as F
+
+    for heavy in range(5):  # most of the text is in one chunk of twelve, wherever that is
+        rows = [(i, heavy, " ".join(f"w{R.randint(0, 9)}" for _ in range(40))) for i in range(60)] + [(100 + p, p, "a b c d e f g") for p in range(12) if p != heavy]
+        d = spark.createDataFrame(rows, "doc_id long, part int, text string").repartitionById(12, "part").withColumn("train", F.lit(True))
+        chunks = lm_score.chunks_of(d)
+        assert chunks.count() == 12
+        assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 41 + 11 * 8 + 19, *lm_score.some_chunks(chunks))[1] == 25.0
+
+
 def test_lm_on_held_out_rows(spark):
     x = lm_score.op8_lm_score(spark, "/root/testdata/sf0.01").toPandas()
     held = x[x.held_out]
