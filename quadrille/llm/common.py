@@ -8,6 +8,7 @@ Every bucket count follows the input's size, so a bucket stays small whatever th
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import re
 import shutil
@@ -346,6 +347,21 @@ def exchange(df: DataFrame, n: int, key: str, *then: str) -> DataFrame:
     return df.repartition(n, key).sortWithinPartitions(key, *then)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; where there is none, nothing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the allocators of Python and Arrow keep it, and workers live through many tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def crc(values: np.ndarray) -> int:
     return zlib.crc32(values.astype("<u4", copy=False).tobytes()) & 0xFFFFFFFF
 

@@ -37,8 +37,10 @@ END = U64(0x2545F4914F6CDD1D)
 BEGIN = U64(0x27D4EB2F165667C5)
 LEVELS = 63  # of any count in a signed 64-bit number
 HASHES = 3
+BLOCK = 1 << 16  # keys that a filter stores or probes at once
 BITS_PER_KEY = 10
 CODE_BITS = 40  # of a pair or triple within its bucket
+PIECE = 4 << 20  # bytes of a batch that a task hands on
 CHUNK = 8 << 20  # bytes of text that a task holds at once: its hashes take some twenty times as much
 MARK = 255  # in place of a level: the count of a mark
 GRID = [(a, b) for a in (100.0, 400.0, 1600.0, 6400.0, 25600.0) for b in (0.5, 1.5, 4.0, 10.0, 25.0)]
@@ -142,12 +144,14 @@ class CountFilter:
     """One part of the log-frequency Bloom filter: as many bits as its keys need."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, bits_per_key: int = BITS_PER_KEY):
-        level = np.frexp(np.asarray(counts, np.float64))[1].astype(np.int64)  # 1 + floor(log2 c)
-        self.bits = max(64, int(level.sum()) * bits_per_key)
+        level = np.frexp(np.asarray(counts, np.float64))[1].astype(np.uint8)  # 1 + floor(log2 c)
+        self.bits = max(64, int(level.sum(dtype=np.int64)) * bits_per_key)
         on = np.zeros(self.bits, bool)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            for at in self._places(codes[level >= j], j):
-                on[at] = True
+        for a in range(0, len(codes), BLOCK):
+            some, last = codes[a : a + BLOCK], level[a : a + BLOCK]
+            for j in range(1, int(last.max(initial=0)) + 1):
+                for at in self._places(some[last >= j], j):
+                    on[at] = True
         self.data = np.packbits(on, bitorder="little")
 
     def _places(self, codes: np.ndarray, level: int) -> Iterator[np.ndarray]:
@@ -158,7 +162,10 @@ class CountFilter:
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         """The last level of each code that is there after all before it; 0 if not even the first is."""
-        level, live = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        return np.concatenate([self._levels(codes[a : a + BLOCK]) for a in range(0, len(codes), BLOCK)] or [np.zeros(0, np.uint8)]).astype(np.int64)
+
+    def _levels(self, codes: np.ndarray) -> np.ndarray:
+        level, live = np.zeros(len(codes), np.uint8), np.arange(len(codes))
         for j in range(1, LEVELS + 1):
             there = np.ones(len(live), bool)
             for at in self._places(codes[live], j):
@@ -193,6 +200,61 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return C.materialise(docs.mapInArrow(packed, _CHUNK_SQL), "lm-texts")
 
 
+def _pieces(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bucket, data, ...) as batches of about PIECE bytes."""
+    a = n = 0
+    for i, r in enumerate(rows, 1):
+        n += len(r[2])
+        if n >= PIECE or i == len(rows):
+            yield _batch(rows[a:i], schema)
+            a, n = i, 0
+
+
+def _asked(chunk: int, train: np.ndarray, text_at: np.ndarray, data: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct n-grams with their counts in training, a row for each bucket of n that has some."""
+    kinds = [_distinct(x, np.repeat(train, np.diff(at))) for x, at in _grams(*_sequences(data, text_at))]
+    cuts = [np.searchsorted(C.bucket_of(x, n), np.arange(n + 1)).tolist() for x, _ in kinds]
+    rows = []
+    for b in range(n):
+        if any(c[b] < c[b + 1] for c in cuts):
+            own = [(x[c[b] : c[b + 1]], k[c[b] : c[b + 1]], bits) for (x, k), c, bits in zip(kinds, cuts, (64, CODE_BITS, CODE_BITS))]
+            rows.append((chunk, b, C.pack_arrays(*[a for x, k, bits in own for a in (_put(x, b, n, bits), *_small(k))]), None))
+    del kinds
+    yield from _pieces(rows, _CHUNK)
+
+
+def _told(got: list[list[np.ndarray]], bits_per_key: int) -> tuple[list[list[np.ndarray]], int, int]:
+    """What one bucket answers each chunk that asks it, kind by kind, so that one kind's arrays are held at once: exact counts of words,
+    levels of words, pairs and triples; and the bucket's tokens and words."""
+    out: list[list[np.ndarray]] = [[] for _ in got]
+    tokens = words = 0
+    for kind in range(3):
+        codes = [_get(x[3 * kind]) for x in got]
+        where = np.cumsum([0, *map(len, codes)]).tolist()
+        codes = np.concatenate(codes)
+        counts = np.concatenate([_full(x[3 * kind + 1], x[3 * kind + 2]) for x in got])
+        by = np.argsort(codes)
+        counts, codes = counts[by], codes[by]
+        first, many = C.runs_of(codes)
+        counts, codes = np.add.reduceat(counts, first) if len(first) else counts, codes[first]
+        del first
+        if kind == 0:
+            tokens, words = int(counts.sum()), int((counts > 0).sum())
+            each = np.empty(where[-1], np.int64)
+            each[by] = np.repeat(counts, many)
+            for k, x in enumerate(out):
+                x += _small(each[where[k] : where[k + 1]])
+            del each
+        there = counts > 0
+        level = CountFilter(codes[there], counts[there], bits_per_key).levels(codes).astype(np.uint8)
+        del codes, counts, there
+        each = np.empty(where[-1], np.uint8)
+        each[by] = np.repeat(level, many)
+        for k, x in enumerate(out):
+            x.append(each[where[k] : where[k + 1]])
+    return out, tokens, words
+
+
 def answers(chunks: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """A row for each chunk and each of n buckets that it asks: exact counts of its words and levels of its words, pairs and triples
     there, in order of their codes; tokens and words of a bucket stand in one row of it."""
@@ -200,40 +262,19 @@ def answers(chunks: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY) -> Data
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, (_, _, train, text_at, data) in zip(batch.column("chunk").to_pylist(), C.blobs(batch.column("data"))):
-                kinds = [_distinct(x, np.repeat(train, np.diff(at))) for x, at in _grams(*_sequences(data, text_at))]
-                cuts = [np.searchsorted(C.bucket_of(x, n), np.arange(n + 1)).tolist() for x, _ in kinds]
-                rows = []
-                for b in range(n):
-                    if any(c[b] < c[b + 1] for c in cuts):
-                        own = [(x[c[b] : c[b + 1]], k[c[b] : c[b + 1]], bits) for (x, k), c, bits in zip(kinds, cuts, (64, CODE_BITS, CODE_BITS))]
-                        rows.append((chunk, b, C.pack_arrays(*[a for x, k, bits in own for a in (_put(x, b, n, bits), *_small(k))]), None))
-                yield _batch(rows, _CHUNK)
+                yield from _asked(chunk, train, text_at, data, n)
+                C.give_back()
 
     def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in C.by_key(batches, "bucket"):
             chunk = [c for b in held for c in b.column("chunk").to_pylist()]
-            got = [x for b in held for x in C.blobs(b.column("data"))]
-            sums, of, where = [], [], []
-            for kind in range(3):
-                codes = [_get(x[3 * kind]) for x in got]
-                where.append(np.cumsum([0, *map(len, codes)]).tolist())
-                some, back = np.unique(np.concatenate(codes), return_inverse=True)
-                counts = np.concatenate([_full(x[3 * kind + 1], x[3 * kind + 2]) for x in got])
-                sums.append((some, np.bincount(back, weights=counts, minlength=len(some)).astype(np.int64)))
-                of.append(back)
-            del got
-            exact = sums[0][1]
-            # One filter for all kinds: words are cut to CODE_BITS too.
-            code = np.concatenate([C.mix((x >> U64(24) if kind == 0 else x) + U64(kind << 62)) for kind, (x, _) in enumerate(sums)])
-            count = np.concatenate([k for _, k in sums])
-            level = CountFilter(code[count > 0], count[count > 0], bits_per_key).levels(code).astype(np.uint8)
-            first = np.cumsum([0, *[len(x) for x, _ in sums]])
-            level = [level[first[kind] + of[kind]] for kind in range(3)]
-            each, rows = exact[of[0]], []
-            for k, c in enumerate(chunk):
-                own = [x[w[k] : w[k + 1]] for x, w in zip(level, where)]
-                rows.append((c, int(bucket), C.pack_arrays(*_small(each[where[0][k] : where[0][k + 1]]), *own), 0 if k else int(exact.sum()), 0 if k else int((exact > 0).sum())))
-            yield _batch(rows, _ANSWER)
+            told, tokens, words = _told([x for b in held for x in C.blobs(b.column("data"))], bits_per_key)
+            del held
+            rows = [(c, int(bucket), C.pack_arrays(*told[k]), 0 if k else tokens, 0 if k else words) for k, c in enumerate(chunk)]
+            del told
+            yield from _pieces(rows, _ANSWER)
+            del rows
+            C.give_back()
 
     return C.materialise(C.exchange(chunks.mapInArrow(asked, _CHUNK_SQL), n, "bucket").mapInArrow(answered, _ANSWER_SQL), "lm-answers")
 
@@ -313,14 +354,15 @@ def scores(chunks: DataFrame, told: DataFrame, n: int, total: float, marks: int,
             ids, null, train, at, exact, levels = _counted(held, marks)
             size = np.diff(at)
             which, counts = _kinds(levels, marks)
-            del levels
             known, base = np.add.reduceat((exact > 0).astype(np.int64), at[:-1]), np.add.reduceat(np.log10(exact + 1.0), at[:-1]) - size * math.log10(total)
             often = np.bincount(which[np.repeat(train, size)], minlength=len(counts[0]))
             without = [np.maximum(x - 1, 0) for x in counts]
             each = [np.add.reduceat(np.log10(probability(total, a, b, *counts))[which], at[:-1]) for a, b in grid]
             fit = [float((often * np.log10(probability(total, a, b, *without))).sum()) for a, b in grid]
             cols = [pa.array(ids, mask=null), pa.array(train), pa.array(size), pa.array(known), pa.array(base), *map(pa.array, each)]
+            del exact, levels, which, held
             yield pa.RecordBatch.from_arrays([*cols, pa.array([fit] + [None] * (len(ids) - 1), schema.field("fit").type)], schema=schema)
+            C.give_back()
 
     return _with_answers(chunks, told, n, per).mapInArrow(scored, sql)
 

@@ -386,6 +386,29 @@ def test_lm_strengths_follow_every_chunk(spark):
         assert lm_score.fit_strengths(chunks, lm_score.answers(chunks, 4, 400), 4, 60 * 41 + 11 * 8 + 19, *lm_score.some_chunks(chunks))[1] == 25.0
 
 
+def test_lm_buckets_are_answered_in_little_memory():
+    import tracemalloc
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    n = 1 << 20
+    codes, counts = C.mix(np.arange(n, dtype=np.uint64)), np.ones(n, np.int64)
+    f, most = peak(lambda: lm_score.CountFilter(codes, counts))
+    assert most < 40 * n
+    level, most = peak(lambda: f.levels(codes))
+    assert most < 20 * n and (level >= 1).all()
+    codes.sort()
+    own = [a for _ in range(3) for a in (lm_score._put(codes, 0, 1, 64), *lm_score._small(counts))]
+    (told, tokens, words), most = peak(lambda: lm_score._told([own, own], 10))  # six million entries
+    assert most < 60 * 6 * n and (tokens, words) == (2 * n, n)
+    assert all((a[0] == 2).all() and not len(a[1]) and (np.array(a[2:]) >= 2).all() for a in told)
+
+
 def test_lm_on_held_out_rows(spark):
     x = lm_score.op8_lm_score(spark, "/root/testdata/sf0.01").toPandas()
     held = x[x.held_out]
