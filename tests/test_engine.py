@@ -191,6 +191,12 @@ def test_scans_reach_parquet(spark):
     assert T.rdfize(spark, sf, {"inNation"}, objects=["nation/03", "nation/x", "region/1"]).count() == 0
 
 
+def test_order_by_statistics_joins_no_large_groups():
+    body = q("?o ?c ?s ?n", "?o placedBy ?c . ?o suppliedBy ?s . ?c inNation ?n . ?s inNation ?n").body
+    stats = {"placedBy": (150_000, 150_000, 10_000), "suppliedBy": (600_000, 150_000, 1_000), "inNation": (16_000, 16_000, 25)}
+    assert [body.index(p) for p in planner.order(body, stats)] == [2, 0, 1, 3]  # not both inNation first: 10 million pairs
+
+
 def test_store(spark, tmp_path):
     t = spark.createDataFrame([("a", "rdf:type", "T"), ("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a")], "s string, p string, o string")
     store = Store.build(t, f"file://{tmp_path}/one")
